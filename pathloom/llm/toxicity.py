@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two word models, one of toxic and one of ordinary labelled documents, share their lowest
-level: the continuation distribution (in how many different left contexts a word occurs,
-over both classes).  A class interpolates bigrams, then its own words, then the shared
-level; absolute discounts move the mass of rare expressions down to the shared counts, so
-an expression that a class has seen once or never says next to nothing.
+level.  A class interpolates its bigrams, then the bigrams of both classes together, then its
+own continuation counts (in how many different left contexts a word occurs, so copies of a
+text add nothing), then the continuation counts of both classes together.  Absolute discounts move the mass of rare expressions down to the shared counts.  A
+class's discount grows with its number of words, so both classes give the shared level the
+same part of their mass, and an expression that is rare in both says nothing.
 
 Counts live in tables of a fixed number of hashed counters (``2 ** BITS``), filled from
 every labelled training document, so what the driver gathers and broadcasts has a fixed
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from pathloom.llm.kernel import IS_SPACE, blocks, crc_split, mix, span_hashes, word_spans
 
 BITS = 20
-RUN = 8
-#: Absolute discounts of class bigrams and class words.
-DISCOUNT_PAIR = 4.0
-DISCOUNT_WORD = 4.0
+RUN = 4
+#: Absolute discounts of class bigrams and class words, for the smaller class.
+DISCOUNT_PAIR = 64.0
+DISCOUNT_WORD = 12.0
 #: Labels of at most this many rows (48 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 BINS = 4096
@@ -73,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: every used counter with its ordinary and toxic count, and for words a mask of 64 classes of left contexts."""
     size = 1 << BITS
     counts = np.zeros((2, 2, size), np.uint32)
-    mask = np.zeros(size, np.uint64)
+    mask = np.zeros((2, size), np.uint64)
     for batch in batches:
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
         for a, b, data, offsets in blocks(batch.column(0)):
@@ -82,55 +83,63 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             kind = np.repeat(toxic[a:b], np.diff(first))
             word, pair, context = _keys(ids, first)
-            np.bitwise_or.at(mask, word, np.uint64(1) << context.astype(np.uint64))
+            bit = np.uint64(1) << context.astype(np.uint64)
             for c in (0, 1):
-                np.add.at(counts[0, c], word[kind == c], 1)
-                np.add.at(counts[1, c], pair[kind == c], 1)
+                own = kind == c
+                np.bitwise_or.at(mask[c], word[own], bit[own])
+                np.add.at(counts[0, c], word[own], 1)
+                np.add.at(counts[1, c], pair[own], 1)
     for level in (0, 1):
         at = np.flatnonzero(counts[level].any(axis=0))
         for i in range(0, len(at), 100_000):
             k = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((k + level * size).astype(np.int32)), pa.array(counts[level, 0, k].astype(np.int64)), pa.array(counts[level, 1, k].astype(np.int64)), pa.array(mask[k].view(np.int64) if level == 0 else np.zeros(len(k), np.int64))],
-                names=["cell", "ordinary", "toxic", "mask"],
-            )
+            masks = [mask[c, k].view(np.int64) if level == 0 else np.zeros(len(k), np.int64) for c in (0, 1)]
+            made = [(k + level * size).astype(np.int32), counts[level, 0, k].astype(np.int64), counts[level, 1, k].astype(np.int64), *masks]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["cell", "ordinary", "toxic", "ordinary_mask", "toxic_mask"])
+
+
+def _contexts(mask: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Number of different left contexts: linear counting over 64 classes, and where nearly all are there, the word's count."""
+    filled = np.bitwise_count(mask).astype(float)
+    return np.where(filled >= 60, n, np.minimum(-64 * np.log1p(-np.minimum(filled, 63) / 64), n))
 
 
 class Model:
     """Log-likelihood ratio tables made from the summed counters."""
 
-    def __init__(self, cell: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, mask: np.ndarray):
+    def __init__(self, cell: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, *masks: np.ndarray):
         size = 1 << BITS
         n = np.zeros((2, 2 * size))
         n[0, cell], n[1, cell] = ordinary, toxic
-        masks = np.zeros(2 * size, np.uint64)
-        masks[cell] = mask.view(np.uint64)
+        seen = np.zeros((2, 2 * size), np.uint64)
+        for c in (0, 1):
+            seen[c, cell] = masks[c].view(np.uint64)
         self.usable = bool(n[0, :size].sum() and n[1, :size].sum())
-        filled = np.bitwise_count(masks[:size]).astype(float)
-        # Number of different left contexts by linear counting over 64 classes; at most the word's count.
-        contexts = np.minimum(-64 * np.log1p(-np.minimum(filled, 63.5) / 64), n[:, :size].sum(axis=0))
-        shared = (contexts + 0.5) / (contexts + 0.5).sum()
-        self.word, self.pair, self.back = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32), np.ones(2)
+        follows = [_contexts(seen[c, :size], n[c, :size]) for c in (0, 1)]
+        shared = _contexts(seen[0, :size] | seen[1, :size], n[:, :size].sum(axis=0)) + 0.5
+        shared /= shared.sum()
+        self.word, self.pair, self.seen = (np.zeros((2, size), np.float32) for _ in range(3))
+        self.below = np.ones(2, np.float32)
+        words = [max(1.0, f.sum()) for f in follows]
+        totals = [max(1.0, n[c, :size].sum()) for c in (0, 1)]
         for c in (0, 1):
-            word, pair = n[c, :size], n[c, size:]
-            total = max(1.0, word.sum())
-            kept = np.maximum(word - DISCOUNT_WORD, 0)
-            self.word[c] = (kept + (total - kept.sum()) * shared) / total
-            load = total / size
-            kept = np.maximum(pair - load - DISCOUNT_PAIR, 0)
-            self.pair[c] = kept
-        self.seen = [n[c, :size].astype(np.float32) for c in (0, 1)]
+            kept = np.maximum(follows[c] - DISCOUNT_WORD * words[c] / min(words), 0)
+            self.word[c] = (kept + (words[c] - kept.sum()) * shared) / words[c]
+            self.pair[c] = np.maximum(n[c, size:] - totals[c] / size - DISCOUNT_PAIR * totals[c] / min(totals), 0)
+            # The part of a context's mass that goes to the words below, alike for all contexts.
+            self.below[c] = 1 - self.pair[c].sum(dtype=np.float64) / totals[c]
+            self.seen[c] = np.maximum(n[c, :size], 1)
+        both = n.sum(axis=0)
+        self.common = np.maximum(both[size:] - sum(totals) / size - DISCOUNT_PAIR, 0).astype(np.float32)
+        self.common_below = 1 - self.common.sum(dtype=np.float64) / sum(totals)
 
     def ratios(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log p(word | word before, toxic) - log p(word | word before, ordinary) of every word."""
         word, pair, _ = _keys(ids, first)
         before = np.concatenate(([0], word[:-1])) if len(word) else word
-        out = []
-        for c in (0, 1):
-            below, kept = self.word[c][word], self.pair[c][pair]
-            context = np.maximum(self.seen[c][before], kept) + 1
-            out.append(np.log((kept + (context - kept) * below) / context))
-        return out[1] - out[0]
+        common = np.minimum(self.common[pair] / (self.seen[0][before] + self.seen[1][before]), 1)
+        p = [np.minimum(self.pair[c][pair] / self.seen[c][before], 1) + self.below[c] * (common + self.common_below * self.word[c][word]) for c in (0, 1)]
+        return np.log(p[1]) - np.log(p[0])
 
     def features(self, column: pa.Array) -> np.ndarray:
         """The largest mean ratio over runs of RUN words of each document."""
@@ -167,10 +176,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     """The model and the feature value at which a document counts as toxic, from the training documents only."""
     train = _labelled(docs, labels)
-    counted = train.mapInArrow(_count, "cell int, ordinary long, toxic long, mask long")
-    total = counted.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("mask").alias("mask"))
+    counted = train.mapInArrow(_count, "cell int, ordinary long, toxic long, ordinary_mask long, toxic_mask long")
+    total = counted.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("ordinary_mask").alias("ordinary_mask"), F.bit_or("toxic_mask").alias("toxic_mask"))
     got = total.toArrow()
-    model = Model(*(got.column(i).to_numpy() for i in range(4)))
+    model = Model(*(got.column(i).to_numpy() for i in range(5)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
 
 
 def _threshold(hist: np.ndarray) -> float:
-    """The cut of best balanced accuracy; of equally good ones the middle."""
+    """The cut that loses least, a false alarm (as a part of its class) counting twice; of equally good ones the middle."""
     sums = hist.sum(axis=1, keepdims=True)
     if not sums.all():
         return HIGH
     share = np.cumsum(hist / sums, axis=1)
-    gain = np.concatenate(([0.0], share[0] - share[1]))
+    gain = np.concatenate(([0.0], 2 * share[0] - share[1]))
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return LOW + (best[0] + best[-1]) / 2 * (HIGH - LOW) / BINS
 
