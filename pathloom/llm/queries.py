@@ -45,6 +45,12 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm import pii
+
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm import langid
 
@@ -57,6 +63,12 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm import decontam
+
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm import warc
 
@@ -64,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_chat, op4_jaccard, op5_gif, op7_langid, op8_urlfilter, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_chat, op4_jaccard, op5_gif, op6_pii, op7_langid, op8_urlfilter, op9_decontam, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
