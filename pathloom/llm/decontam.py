@@ -175,16 +175,16 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> Data
         .where("x <> 0")
         .distinct()
     )
-    wrong = [pairs.groupBy(*group, k).agg(F.count("*").alias("n"), F.sum(F.expr("cast(x <> y as int)")).alias("changed")).groupBy(*group).agg(F.max("n").alias(f"n_{k}"), F.count("*").alias(f"slots_{k}"), F.sum("changed").alias(f"changed_{k}")) for k in "xy"]
+    zero = F.lit(0).cast("long")
     sizes = met.groupBy(*group).agg(F.countDistinct("item_place").alias("n"), F.max("item_windows").alias("item_windows"))
-
-    def same(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = [left[c].eqNullSafe(right[c]) for c in group]
-        return left.join(right, on, "left").select(*left.columns, *[right[c] for c in right.columns if c not in group])
-
-    judged = same(same(sizes, wrong[0]), wrong[1]).where("coalesce(n_x, 1) = 1 and coalesce(n_y, 1) = 1")
+    parts = [
+        pairs.groupBy(*group, "x").agg(F.count("*").alias("bound"), F.sum(F.expr("cast(x <> y as int)")).alias("changed")).select(*group, "bound", F.lit(1).cast("long").alias("slots"), "changed", zero.alias("n"), zero.alias("item_windows")),
+        pairs.groupBy(*group, "y").agg(F.count("*").alias("bound")).select(*group, "bound", zero, zero, zero, zero),
+        sizes.select(*group, F.lit(1).cast("long"), zero, zero, "n", "item_windows"),
+    ]
+    judged = parts[0].union(parts[1]).union(parts[2]).groupBy(*group).agg(F.max("bound").alias("bound"), *(F.sum(c).alias(c) for c in ("slots", "changed", "n", "item_windows"))).where("bound = 1")
     total = judged.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(
-        F.sum("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("slots_x", F.lit(0))).alias("slots"), F.min(F.coalesce("changed_x", F.lit(0))).alias("changed_slots")
+        F.sum("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.min("changed").alias("changed_slots")
     )
     return total.where(f"n_windows >= least({least}, item_windows)").drop("item_hash").distinct()
 

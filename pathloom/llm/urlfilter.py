@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.kernel import materialize
+
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Suffixes of two labels; all others have one.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.cn", "co.in", "co.za")
@@ -89,7 +91,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, outcomes
     labelled = parsed.where("said is not null").select("host", F.expr("cast(said = 'block' as int)").alias("blocked"))
     if outcomes is not None:
         labelled = labelled.union(outcomes.select("host", "blocked"))
-    known = reputation(labelled)
+    known = materialize(reputation(labelled), "reputation")
     suffix, domain = names()
     # One row for each host: its own posterior, or that of its nearest labelled relative.
     hosts = parsed.select("host").distinct().withColumns({"suffix": suffix, "domain": domain})
