@@ -9,10 +9,14 @@ threshold (percent).  Steps:
    ``n - ceil(t n) + l`` tokens must share at least ``l`` tokens with a partner's prefix of
    the same ``l``; of two documents the smaller ``l`` holds.  Each document takes the ``l``
    from 1 to ``MOST_SHARED`` that minimises its estimated scan and verification cost.
-3. Tokens are brought together.  Rather than all pairs of a list, rounds test each member
-   against one leader; verified links merge components, and only pairs from different
-   components stay candidates.  When few are left, all of them are enumerated, counted
-   against ``l`` and verified, so no component is missed.
+3. Tokens are brought together.  Before a token that two prefixes share, both prefixes show
+   all that the documents have, so tokens that no other prefix has are not shared there.
+   That bounds a pair's overlap at each shared token: by the smaller rank (among tokens that
+   others have) before it, and the smaller rest of the set after it.
+4. Rather than all pairs of a list, rounds test each member against one leader, the document
+   with the largest part that can be shared.  Verified links merge components, and only
+   pairs of different components that pass the bounds stay candidates.  When few are left,
+   all of them are enumerated, counted against ``l`` and verified: no component is missed.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with
 fewer words than ``width`` the whole sequence is the one shingle; repeated rows share a
@@ -29,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
@@ -43,9 +48,9 @@ VERIFY_COST = 8.0
 #: From this frequency class on (2 ** (HOT / 2) times the mean), a token's list is dealt to SALTS tasks.
 HOT = 8
 SALTS = 16
-#: Enumerate all cross-component pairs once they are at most this many for each posting, or after LAST_ROUND.
-FEW = 1.0
-LAST_ROUND = 6
+#: Enumerate all cross-component pairs once their estimate is at most this many for each posting, or in LAST_ROUND.
+FEW = 4.0
+LAST_ROUND = 3
 #: Ids of at most this many documents (16 MB) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,7 +136,7 @@ def _prefixes(table, mean: float, width: int, percent: int):
         classes = table.value
         excess_of = np.where(np.arange(256) > 1, mean * (2.0 ** (np.arange(256) / 2)), 0)
         seen: set[int] = set()
-        tokens, nodes, sizes, shares = [], [], [], []
+        tokens, nodes, infos = [], [], []
         low = np.uint64((1 << 56) - 1)
 
         def out() -> pa.RecordBatch:
@@ -139,10 +144,10 @@ def _prefixes(table, mean: float, width: int, percent: int):
             token = np.concatenate(tokens)
             node = np.repeat(np.array(nodes, np.int64), lengths)
             salt = np.where((token >> np.uint64(56)) >= HOT, node % SALTS, 0).astype(np.int32)
-            made = [token.view(np.int64), salt, node, np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(shares, np.int32), lengths)]
-            for x in (tokens, nodes, sizes, shares):
+            made = [token.view(np.int64), salt, node, np.concatenate(infos)]
+            for x in (tokens, nodes, infos):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["token", "salt", "node", "n", "l"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["token", "salt", "node", "info"])
 
         rows = 0
         for batch in batches:
@@ -159,8 +164,8 @@ def _prefixes(table, mean: float, width: int, percent: int):
                     share = shared_needed(excess_of[(key >> np.uint64(56)).astype(np.int64)], n, percent)
                     tokens.append(key[: n - least_shared(n, percent) + share])
                     nodes.append(node)
-                    sizes.append(n)
-                    shares.append(share)
+                    # Set size, place in the order, and tokens asked for, in one number.
+                    infos.append((n << 32) + (np.arange(len(tokens[-1]), dtype=np.int64) << 4) + share)
                     rows += len(tokens[-1])
                 if rows > 150_000:
                     yield out()
@@ -172,11 +177,10 @@ def _prefixes(table, mean: float, width: int, percent: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, salt and node: those in lists of two or more (or of salted tokens), each with its list's first member."""
-    names = ["token", "node", "n", "l", "leader", "leader_n", "leader_l"]
-    held: list[np.ndarray] | None = None  # the last row so far, and whether it begins its list, and its leader
+    """Of postings sorted by token, salt and node: each once, those in lists of two or more (or of salted tokens)."""
+    held: list[np.ndarray] | None = None  # the last row so far, and whether it begins its list
 
-    def emit(cols: list[np.ndarray], new: np.ndarray, lead: list[np.ndarray], last: bool) -> pa.RecordBatch | None:
+    def emit(cols: list[np.ndarray], new: np.ndarray, last: bool) -> pa.RecordBatch | None:
         multi = ~new
         multi[:-1] |= ~new[1:]
         multi |= (cols[0].view(np.uint64) >> np.uint64(56)) >= HOT
@@ -184,33 +188,27 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             multi[-1] = False
         if not multi.any():
             return None
-        made = [cols[0], cols[2], cols[3], cols[4], *lead]
-        return pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in made], names=names)
+        info = cols[3][multi]
+        made = [cols[0][multi], cols[2][multi], (info >> 32).astype(np.int32), (info & 15).astype(np.int32), (info >> 4 & (1 << 28) - 1).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["token", "node", "n", "l", "pos"])
 
     for batch in batches:
         cols = [np.array(c) for c in batch.columns]
         if not len(cols[0]):
             continue
-        first = 0
         if held is not None:
-            cols = [np.concatenate((h[:1], c)) for h, c in zip(held[:5], cols, strict=True)]
-            first = 1
+            cols = [np.concatenate((h, c)) for h, c in zip(held[:4], cols, strict=True)]
         new = np.ones(len(cols[0]), bool)
         new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
         fresh = new.copy()
         fresh[1:] |= cols[2][1:] != cols[2][:-1]
+        if held is not None:
+            new[0] = held[4][0]
         cols, new = [c[fresh] for c in cols], new[fresh]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        lead = [cols[i][at] for i in (2, 3, 4)]
-        if first and not held[5][0]:
-            new[0] = False
-            own = at == 0
-            for x, h in zip(lead, held[6:], strict=True):
-                x[own] = h[0]
-        if (made := emit(cols, new, lead, False)) is not None:
+        if (made := emit(cols, new, False)) is not None:
             yield made
-        held = [c[-1:].copy() for c in cols] + [new[-1:].copy()] + [x[-1:].copy() for x in lead]
-    if held is not None and (made := emit(held[:5], held[5].copy(), held[6:], True)) is not None:
+        held = [c[-1:].copy() for c in cols] + [new[-1:].copy()]
+    if held is not None and (made := emit(held[:4], held[4], True)) is not None:
         yield made
 
 
@@ -237,8 +235,16 @@ class Join:
         self.docs, self.width, self.percent = docs.select("doc_id", "text"), width, percent
         self.spark = docs.sparkSession
 
-    def _close(self, n: str, m: str) -> str:
-        return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
+    def _possible(self, x: str, y: str) -> str:
+        """SQL: whether two sides (prefixes of column names) that share a token can link: by size, and by rank before and rest after this token."""
+        reach = f"least({x}rank, {y}rank) + 1 + least({x}rest, {y}rest)"
+        return f"100 * least({x}n, {y}n) >= {self.percent} * greatest({x}n, {y}n) AND {100 + self.percent} * ({reach}) >= {self.percent} * ({x}n + {y}n)"
+
+    def _postings(self, lists: DataFrame) -> DataFrame:
+        """lists with each posting's rank among its document's tokens that others have, the size of the set after it, and the document's part of such tokens."""
+        own = W.partitionBy("node")
+        ranked = lists.select("*", (F.row_number().over(own.orderBy("token")) - 1).alias("rank"), F.count("*").over(own).alias("live"))
+        return ranked.select("token", "node", "n", "l", "rank", (F.col("n") - F.col("pos") - 1).alias("rest"), (F.col("live") / F.col("n")).alias("part"))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b, a_n, b_n) with their number of shared shingles."""
@@ -261,68 +267,64 @@ class Join:
         self.classes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
         table = self.spark.sparkContext.broadcast(classes)
         named = self.docs.where("doc_id is not null").select("text")
-        postings = named.mapInArrow(_prefixes(table, mean, self.width, self.percent), "token long, salt int, node long, n int, l int")
+        postings = named.mapInArrow(_prefixes(table, mean, self.width, self.percent), "token long, salt int, node long, info long")
         dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-        lists = materialize(dealt.mapInArrow(_lists, "token long, node long, n int, l int, leader long, leader_n int, leader_l int"), "lists")
+        lists = self._postings(materialize(dealt.mapInArrow(_lists, "token long, node long, n int, l int, pos int"), "lists"))
+        lists = materialize(lists, "postings")
         size = lists.count()
-        pairs = (
-            lists.where(f"node <> leader and {self._close('n', 'leader_n')}")
-            .groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            .agg(
-                F.count("*").alias("c"),
-                F.max(F.least("l", "leader_l")).alias("l"),
-                F.max(F.expr("if(node < leader, n, leader_n)")).cast("long").alias("a_n"),
-                F.max(F.expr("if(node < leader, leader_n, n)")).cast("long").alias("b_n"),
-            )
-            .where("c >= l")
-            .select("a", "b", "a_n", "b_n")
-        )
-        tested = links = None
+        links = root = tested = None
+        good = f"{100 + self.percent} * shared >= {self.percent} * (a_n + b_n)"
         for turn in range(LAST_ROUND + 1):
-            pairs = materialize(pairs, "pairs")
-            checked = materialize(self._verify(pairs), "checked")
-            tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-            good = checked.where(f"100 * shared >= {self.percent} * (a_n + b_n - shared)").select("a", "b")
-            links = good if links is None else links.union(good)
-            root = components(links)
-            if turn == LAST_ROUND or size == 0:
-                break
-            own = lists.select("token", "node", "n", "l").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            kinds = own.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("token", "node", F.lit(turn)).alias("h"), "node", "n")).alias("pick"))
-            mixed = materialize(
-                kinds.groupBy("token")
-                .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"), F.max_by(F.struct("pick", "root"), F.struct("c", "pick.h")).alias("most"))
-                .where("roots > 1"),
-                "mixed",
-            )
-            left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2)).first()[0] or 0
+            own = lists.withColumn("root", F.col("node"))
+            if root is not None:
+                own = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            # Of each list its components, and the member with the largest shareable part; later rounds take another one for each token.
+            first = F.struct("part", "node") if turn == 0 else F.struct(F.xxhash64("token", "node", F.lit(turn)).alias("h"), "node")
+            leader = F.struct(*[F.col(c).alias(f"y_{c}") for c in ("node", "n", "rank", "rest")])
+            sizes = own.groupBy("token", "root").agg(F.count("*").alias("root_size"), F.max_by(leader, first).alias("y"), F.max("part").alias("part"))
+            best = F.struct("part", "y.y_node") if turn == 0 else F.struct("root_size", "y.y_node")
+            mixed = sizes.groupBy("token").agg(F.sum("root_size").alias("every"), F.sum(F.col("root_size") * F.col("root_size")).alias("squares"), F.max_by(F.struct("root", "y"), best).alias("top")).where("every * every > squares")
+            mixed = materialize(mixed.select("token", ((F.col("every") * F.col("every") - F.col("squares")) / 2).alias("left"), F.col("top.root").alias("y_root"), "top.y.*"), "mixed")
+            left = mixed.agg(F.sum("left")).first()[0] or 0
             if left == 0:
                 break
-            own = own.join(mixed.select("token", F.col("most.root").alias("leader_root"), F.col("most.pick.node").alias("leader"), F.col("most.pick.n").alias("leader_n")), "token")
-            if left <= FEW * size + 10_000 or turn == LAST_ROUND - 1:
-                # Only members outside a list's largest component meet the others: no pass over pairs within it.
-                x = own.where("root <> leader_root").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("l").alias("x_l"), F.col("root").alias("x_root"))
-                y = own.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("l").alias("y_l"), F.col("root").alias("y_root"), "leader_root")
-                pairs = (
-                    x.join(y, "token")
-                    .where(f"x_root <> y_root and (y_root = leader_root or x < y) and {self._close('x_n', 'y_n')}")
-                    .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-                    .agg(F.count("*").alias("c"), F.max(F.least("x_l", "y_l")).alias("l"), F.max(F.expr("if(x < y, x_n, y_n)")).cast("long").alias("a_n"), F.max(F.expr("if(x < y, y_n, x_n)")).cast("long").alias("b_n"))
-                    .where("c >= l")
-                    .select("a", "b", "a_n", "b_n")
-                )
-                pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-                checked = self._verify(pairs)
-                links = links.union(checked.where(f"100 * shared >= {self.percent} * (a_n + b_n - shared)").select("a", "b"))
+            x = own.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "l", "rank", "rest", "root")])
+            last = turn > 0 and (left <= FEW * size + 10_000 or turn == LAST_ROUND)
+            pairs = self._all_pairs(x, own, mixed) if last else self._leader_pairs(x, mixed)
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            checked = materialize(self._verify(materialize(pairs, "pairs")), "checked")
+            tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
+            new = checked.where(good).select("a", "b")
+            links = new if links is None else links.union(new)
+            if last:
                 break
-            pairs = (
-                own.where(f"root <> leader_root and {self._close('n', 'leader_n')}")
-                .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.expr("if(node < leader, n, leader_n)").cast("long").alias("a_n"), F.expr("if(node < leader, leader_n, n)").cast("long").alias("b_n"))
-                .distinct()
-                .join(tested, ["a", "b"], "left_anti")
-            )
+            root = components(links)
+        if links is None:
+            links = lists.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         return rows, self.classes, links
 
+    def _leader_pairs(self, x: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Every member with its list's leader, if they can link and have no component in common."""
+        met = x.join(mixed, "token").where(f"x_root <> y_root and {self._possible('x_', 'y_')}")
+        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.expr("if(x_node < y_node, x_n, y_n)").cast("long").alias("a_n"), F.expr("if(x_node < y_node, y_n, x_n)").cast("long").alias("b_n")).distinct()
+
+    def _all_pairs(self, x: DataFrame, own: DataFrame, mixed: DataFrame) -> DataFrame:
+        """All pairs of different components that share enough prefix tokens and can link. Only members outside a list's leading component meet the others."""
+        places = mixed.select("token", F.col("y_root").alias("top_root"))
+        y = own.join(places, "token").select("token", "top_root", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "l", "rank", "rest", "root")])
+        outside = x.join(places, "token").where("x_root <> top_root").drop("top_root")
+        met = outside.join(y, "token").where(f"x_root <> y_root and (y_root = top_root or x_node < y_node) and {self._possible('x_', 'y_')}")
+        pairs = met.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(
+            F.count("*").alias("c"),
+            F.max(F.least("x_l", "y_l")).alias("l"),
+            F.min(F.least("x_rest", "y_rest")).alias("rest"),
+            F.max(F.expr("if(x_node < y_node, x_n, y_n)")).cast("long").alias("a_n"),
+            F.max(F.expr("if(x_node < y_node, y_n, x_n)")).cast("long").alias("b_n"),
+        )
+        # All shared prefix tokens, and at most the smaller rest after the last of them.
+        return pairs.where(f"c >= l and {100 + self.percent} * (c + rest) >= {self.percent} * (a_n + b_n)").select("a", "b", "a_n", "b_n")
+
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Verified links (a, b: representatives' doc_ids) that connect every component of different texts."""
