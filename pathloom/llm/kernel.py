@@ -7,15 +7,15 @@ Null texts count as empty.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from pathloom.plans.scratch import materialize, new_folder
+
+__all__ = ["blocks", "buffer_of", "crc_split", "materialize", "mix", "new_folder", "shingle_sets", "span_hashes", "word_spans", "words"]
 
 BLOCK_BYTES = 1 << 20
 
@@ -32,32 +32,6 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives a lost executor."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this session in the shared store, through Hadoop's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def crc_split(column: str = "doc_id") -> str:
     """SQL: true for the held-out fifth of the documents."""
     return f"coalesce(crc32(encode(cast({column} as string), 'UTF-8')) % 5 = 0, false)"
@@ -159,6 +133,3 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Itera
         else:
             yield np.zeros(0, np.uint64)
 
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)

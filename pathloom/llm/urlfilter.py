@@ -64,20 +64,22 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """Posterior (a, b) of every host, domain and suffix: rows (level, name, a, b), from outcomes (host, blocked 0/1)."""
     suffix, domain = names()
     hosts = outcomes.groupBy("host").agg(F.sum(F.col("blocked").cast("double")).alias("k"), F.count("blocked").cast("double").alias("n")).withColumns({"suffix": suffix, "domain": domain})
+    hosts = materialize(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    everything = suffixes.agg((F.coalesce(F.sum("k"), F.lit(0.0)) + GLOBAL[0]).alias("a"), (F.coalesce(F.sum("n") - F.sum("k"), F.lit(0.0)) + GLOBAL[1]).alias("b"))
-
-    def shrink(children: DataFrame, parents: DataFrame, on: list[str], level: str) -> DataFrame:
-        mean = F.col("a") / (F.col("a") + F.col("b"))
-        s = STRENGTH[level]
-        joined = children.join(parents, on) if on else children.crossJoin(F.broadcast(parents))
-        return joined.select(*children.columns, (F.col("k") + s * mean).alias("_a"), (F.col("n") - F.col("k") + s * (1 - mean)).alias("_b")).withColumnsRenamed({"_a": "a", "_b": "b"})
-
-    top = shrink(suffixes, everything, [], "suffix")
-    middle = shrink(domains, top.select("suffix", "a", "b"), ["suffix"], "domain")
-    low = shrink(hosts.drop("suffix"), middle.select("domain", "a", "b"), ["domain"], "host")
-    out = everything.select(F.lit("global").alias("level"), F.lit("").alias("name"), "a", "b")
+    suffixes = hosts.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    # One row of two numbers comes to the driver.
+    k, n = hosts.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    whole = [F.lit(k + GLOBAL[0]), F.lit(n - k + GLOBAL[1])]
+
+    def shrink(children: DataFrame, a: Column, b: Column, level: str) -> DataFrame:
+        mean, s = a / (a + b), STRENGTH[level]
+        made = {"_a": F.col("k") + s * mean, "_b": F.col("n") - F.col("k") + s * (1 - mean)}
+        return children.withColumns(made).drop("a", "b").withColumnsRenamed({"_a": "a", "_b": "b"})
+
+    top = shrink(suffixes, *whole, "suffix")
+    middle = shrink(domains.join(top.select("suffix", "a", "b"), "suffix"), F.col("a"), F.col("b"), "domain")
+    low = shrink(hosts.join(middle.select("domain", "a", "b"), "domain"), F.col("a"), F.col("b"), "host")
+    out = hosts.sparkSession.range(1).select(F.lit("global").alias("level"), F.lit("").alias("name"), whole[0].alias("a"), whole[1].alias("b"))
     for level, df, name in (("suffix", top, "suffix"), ("domain", middle, "domain"), ("host", low, "host")):
         out = out.union(df.select(F.lit(level), F.col(name), "a", "b"))
     return out
@@ -98,11 +100,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, outcomes
     for level in ("host", "domain", "suffix"):
         own = known.where(F.col("level") == level).select(F.col("name").alias(level), F.col("a").alias(f"a_{level}"), F.col("b").alias(f"b_{level}"))
         hosts = hosts.join(own, level, "left")
-    everything = F.broadcast(known.where("level = 'global'").select(F.col("a").alias("a_all"), F.col("b").alias("b_all")))
-    a, b = (F.coalesce(*(F.col(f"{k}_{level}") for level in ("host", "domain", "suffix")), F.col(f"{k}_all")) for k in "ab")
+    whole = known.where("level = 'global'").select("a", "b").first()
+    a, b = (F.coalesce(*(F.col(f"{k}_{level}") for level in ("host", "domain", "suffix")), F.lit(whole[k])) for k in "ab")
     mean = F.col("a") / (F.col("a") + F.col("b"))
     bound = mean - Z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    judged = hosts.crossJoin(everything).select("host", a.alias("a"), b.alias("b")).select("host", F.round(bound, 9).alias("bound"))
+    judged = hosts.select("host", a.alias("a"), b.alias("b")).select("host", F.round(bound, 9).alias("bound"))
     return parsed.join(judged, "host").select(
         "page_id", "host", "path", "rule", F.coalesce("said", F.expr(f"if(bound > {LIMIT}, 'block', 'allow')")).alias("verdict"), "bound"
     )
