@@ -46,6 +46,8 @@ _table[65:91] = _table[97:123]
 _is_core = np.zeros(256, bool)
 _is_core[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _table[~_is_core] = 0
+_is_end = np.zeros(256, bool)
+_is_end[[33, 46, 58, 63]] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in _rng.integers(1, 1 << 63, 3))
 _weights = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,14 +71,24 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     real = (at < len(core)) & (inner < ends)
     starts, ends = inner[real], ends[real]
     first = np.searchsorted(starts, offsets)
-    value = _hashes(data, starts, ends)
+    folded = data.copy()
+    wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+    wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+    folded[wide] += 0x20
+    value = _hashes(folded, starts, ends)
     head = data[starts]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
     number = (head >= 48) & (head <= 57)
-    name = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
     begins = np.zeros(len(starts) + 1, bool)
     begins[first[:-1]] = True
     begins = begins[:-1]
+    accented = (head == 0xC3) & np.isin(starts + 1, wide)
+    after = starts + 1 + accented
+    # The letter after the first one is small: a-z or a byte of a letter that isn't À-Þ.
+    following = data[np.minimum(after, len(data) - 1)]
+    small = (after < ends) & (((following >= 97) & (following <= 122)) | ((following >= 128) & ~np.isin(after + 1, wide)))
+    opens = begins.copy()
+    opens[1:] |= _is_end[data[ends[:-1] - 1]]
+    name = (((head >= 65) & (head <= 90)) | accented) & small & ~opens
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = number[:-1] & ~begins[1:]
     spot = np.minimum(np.searchsorted(_units, value), len(_units) - 1)
@@ -88,8 +100,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     joined[1:] = name[1:] & name[:-1] & ~begins[1:] & _is_core[data[ends[:-1] - 1]]
     if joined.any():
         heads = np.flatnonzero(~joined)
-        slot = np.add.reduceat(slot, heads)
-        slot = np.where(slot > 0, slot | np.uint64(1), slot)
+        # The last word stands for the name: capitals right before a copied passage don't change its first name.
+        slot = slot[np.append(heads[1:], len(joined)) - 1]
         token = token[heads]
         first = np.searchsorted(heads, first)
     return token, slot, first
