@@ -50,9 +50,14 @@ HOT = 8
 SALTS = 16
 #: Enumerate all cross-component pairs once their estimate is at most this many for each posting, or in LAST_ROUND.
 FEW = 4.0
-LAST_ROUND = 3
-#: Ids of at most this many documents (16 MB) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+LAST_ROUND = 2
+#: Members that one leader's set is compared with in a task; larger groups are dealt to several tasks.
+GROUP = 1000
+#: Pairs of at most this many rows (about 60 MB) are broadcast to pick their documents' texts; more are joined by a shuffle.
+BROADCAST_IDS = 600_000
+
+#: What a side of a pair is known by.
+SIDE = ("node", "n", "l", "rank", "rest", "root", "marks", "last", "most")
 
 
 def _node(own: np.ndarray) -> int:
@@ -213,19 +218,32 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(width: int):
+    """Rows (group, salt, lead, node, tokens) of texts (text, node, group, salt, lead); a text of another node, of a repeated id, gives none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                made = [(_node(own), own.tobytes()) for own in shingle_sets(data, offsets, width) if len(own)]
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["node", "tokens"])
+            for a, b, data, offsets in blocks(batch.column(0)):
+                found = [(_node(own), own.tobytes()) if len(own) else (None, b"") for own in shingle_sets(data, offsets, width)]
+                part = batch.slice(a, b - a)
+                ok = [i for i, (node, want) in enumerate(zip((f[0] for f in found), part.column(1).to_pylist(), strict=True)) if node == want]
+                kept = part.take(pa.array(ok, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(3), kept.column(4), kept.column(1), pa.array([found[i][1] for i in ok], pa.binary())], names=["group", "salt", "lead", "node", "tokens"])
 
     return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group, salt and lead (leaders first): each member's overlap with its leader."""
+    leader, key = np.zeros(0, np.uint64), None
     for batch in batches:
-        shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "a_n", "b_n", "shared"])
+        out: list[tuple[int, int, int, int, int]] = []
+        for group, salt, lead, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(tokens, np.uint64)
+            if lead == 0:
+                leader, key = own, (group, salt)
+            elif key == (group, salt):
+                out.append((group, node, len(leader), len(own), len(np.intersect1d(leader, own, assume_unique=True))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["a", "b", "a_n", "b_n", "shared"])
 
 
 class Join:
@@ -240,24 +258,31 @@ class Join:
         reach = f"least({x}rank, {y}rank) + 1 + least({x}rest, {y}rest)"
         return f"100 * least({x}n, {y}n) >= {self.percent} * greatest({x}n, {y}n) AND {100 + self.percent} * ({reach}) >= {self.percent} * ({x}n + {y}n)"
 
+    def _covered(self) -> str:
+        """SQL: whether x and y can link by the marks of their shareable prefix tokens: all those of the side whose last one comes first show in the other side, if shared."""
+        reach = "if(x_last <= y_last, x_most - bit_count(x_marks & ~y_marks), y_most - bit_count(y_marks & ~x_marks))"
+        return f"{100 + self.percent} * ({reach}) >= {self.percent} * (x_n + y_n)"
+
     def _postings(self, lists: DataFrame) -> DataFrame:
-        """lists with each posting's rank among its document's tokens that others have, the size of the set after it, and the document's part of such tokens."""
+        """lists with each posting's rank among its document's tokens that others have, the size of the set after it, and of the document: its part of such tokens, 64 hashed marks of them, the last one, and the most that can be shared."""
         own = W.partitionBy("node")
-        ranked = lists.select("*", (F.row_number().over(own.orderBy("token")) - 1).alias("rank"), F.count("*").over(own).alias("live"))
-        return ranked.select("token", "node", "n", "l", "rank", (F.col("n") - F.col("pos") - 1).alias("rest"), (F.col("live") / F.col("n")).alias("part"))
+        ranked = lists.select(
+            "token", "node", "n", "l", (F.col("n") - F.col("pos") - 1).alias("rest"), (F.row_number().over(own.orderBy("token")) - 1).alias("rank"), F.count("*").over(own).alias("live"),
+            F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(token) & 63 as int))")).over(own).alias("marks"), F.max("token").over(own).alias("last"), F.min(F.col("n") - F.col("pos") - 1).over(own).alias("tail"),
+        )
+        return ranked.select("token", "node", "n", "l", "rank", "rest", (F.col("live") / F.col("n")).alias("part"), "marks", "last", (F.col("live") + F.col("tail")).cast("int").alias("most"))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, a_n, b_n) with their number of shared shingles."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(ends.join(self.classes, "node").select("doc_id"), "wanted")
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = self.docs.join(wanted, "doc_id", "left_semi").select("text")
-        sets = materialize(texts.mapInArrow(_sets(self.width), "node long, tokens binary"), "sets")
-        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "x", "y")
-        return both.mapInArrow(_overlaps, "a long, b long, a_n long, b_n long, shared long").distinct()
+        """pairs (a, b) with their set sizes and number of shared shingles. Every set travels once for each pair that it is the member of, and once for each task that it leads."""
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("tasks"))
+        dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"))
+        members = dealt.select(F.col("b").alias("node"), F.col("a").alias("group"), "salt", F.lit(1).alias("lead"))
+        leaders = dealt.select(F.col("a").alias("node"), F.col("a").alias("group"), "salt", F.lit(0).alias("lead")).distinct()
+        wanted = materialize(members.union(leaders).join(self.classes.select("node", "doc_id"), "node"), "wanted")
+        texts = self.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("text", "node", "group", "salt", "lead")
+        sets = texts.mapInArrow(_sets(self.width), "group long, salt int, lead int, node long, tokens binary")
+        met = sets.repartition("group", "salt").sortWithinPartitions("group", "salt", "lead")
+        return met.mapInArrow(_overlaps, "a long, b long, a_n long, b_n long, shared long").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents (doc_id, n, node), classes (node, doc_id of the representative, copies), and verified links (a, b) that span every component."""
@@ -288,13 +313,14 @@ class Join:
             left = mixed.agg(F.sum("left")).first()[0] or 0
             if left == 0:
                 break
-            x = own.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "l", "rank", "rest", "root")])
+            x = own.select("token", *[F.col(c).alias(f"x_{c}") for c in SIDE])
             last = turn > 0 and (left <= FEW * size + 10_000 or turn == LAST_ROUND)
             pairs = self._all_pairs(x, own, mixed) if last else self._leader_pairs(x, mixed)
+            both = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
             if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            checked = materialize(self._verify(materialize(pairs, "pairs")), "checked")
-            tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
+                pairs = pairs.select("*", *both).join(tested, ["lo", "hi"], "left_anti")
+            checked = materialize(self._verify(materialize(pairs.select("a", "b"), "pairs")), "checked")
+            tested = checked.select(*both) if tested is None else tested.union(checked.select(*both))
             new = checked.where(good).select("a", "b")
             links = new if links is None else links.union(new)
             if last:
@@ -305,25 +331,22 @@ class Join:
         return rows, self.classes, links
 
     def _leader_pairs(self, x: DataFrame, mixed: DataFrame) -> DataFrame:
-        """Every member with its list's leader, if they can link and have no component in common."""
+        """(a: leader, b: member): every member with the leader of most of its lists, if they can link and have no component in common."""
         met = x.join(mixed, "token").where(f"x_root <> y_root and {self._possible('x_', 'y_')}")
-        return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.expr("if(x_node < y_node, x_n, y_n)").cast("long").alias("a_n"), F.expr("if(x_node < y_node, y_n, x_n)").cast("long").alias("b_n")).distinct()
+        counts = met.groupBy("x_node", "y_node").agg(F.count("*").alias("c"))
+        return counts.groupBy(F.col("x_node").alias("b")).agg(F.max_by("y_node", F.struct("c", "y_node")).alias("a")).select("a", "b")
 
     def _all_pairs(self, x: DataFrame, own: DataFrame, mixed: DataFrame) -> DataFrame:
         """All pairs of different components that share enough prefix tokens and can link. Only members outside a list's leading component meet the others."""
         places = mixed.select("token", F.col("y_root").alias("top_root"))
-        y = own.join(places, "token").select("token", "top_root", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "l", "rank", "rest", "root")])
+        y = own.join(places, "token").select("token", "top_root", *[F.col(c).alias(f"y_{c}") for c in SIDE])
         outside = x.join(places, "token").where("x_root <> top_root").drop("top_root")
-        met = outside.join(y, "token").where(f"x_root <> y_root and (y_root = top_root or x_node < y_node) and {self._possible('x_', 'y_')}")
+        met = outside.join(y, "token").where(f"x_root <> y_root and (y_root = top_root or x_node < y_node) and {self._possible('x_', 'y_')} and {self._covered()}")
         pairs = met.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(
-            F.count("*").alias("c"),
-            F.max(F.least("x_l", "y_l")).alias("l"),
-            F.min(F.least("x_rest", "y_rest")).alias("rest"),
-            F.max(F.expr("if(x_node < y_node, x_n, y_n)")).cast("long").alias("a_n"),
-            F.max(F.expr("if(x_node < y_node, y_n, x_n)")).cast("long").alias("b_n"),
+            F.count("*").alias("c"), F.max(F.least("x_l", "y_l")).alias("l"), F.min(F.least("x_rest", "y_rest")).alias("rest"), F.max(F.col("x_n") + F.col("y_n")).alias("n")
         )
         # All shared prefix tokens, and at most the smaller rest after the last of them.
-        return pairs.where(f"c >= l and {100 + self.percent} * (c + rest) >= {self.percent} * (a_n + b_n)").select("a", "b", "a_n", "b_n")
+        return pairs.where(f"c >= l and {100 + self.percent} * (c + rest) >= {self.percent} * n").select("a", "b")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
