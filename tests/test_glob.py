@@ -74,7 +74,11 @@ def plain_match(path, pattern):
 @given(st.lists(st.sampled_from(["a", "b", "ab", "*", "**", "a*", "*b"]), min_size=1, max_size=4), st.lists(st.sampled_from(["a", "b", "ab", "", "abb"]), min_size=1, max_size=5))
 def test_against_plain_matcher(labels, path):
     pattern, path = "/" + "/".join(labels), "/" + "/".join(path)
-    if labels[-1] == "**" and len(labels) > 1 and "*" in labels[-2] and labels[-2] != "**":
+    kept = list(labels)
+    while kept and kept[-1] == "**":
+        kept.pop()
+    # A star right before the final deep wildcards needs a character at the path's end; the plain matcher doesn't know that.
+    if len(kept) < len(labels) and kept and kept[-1].endswith("*"):
         return
     assert Pattern(pattern).matches(path) == plain_match(path, pattern)
 
