@@ -2,7 +2,8 @@
 
 Headers (id, payload digest, length) are shuffled by digest and reduced to the smallest id
 of each; that record is the response, all others become revisit records that refer to it and
-hold the original's HTTP headers without its payload.  Archives are written by Spark's text
+hold the original's HTTP headers without its payload.  Payloads are not shuffled: what comes
+back to the pages is the list of revisit records, broadcast while it is short.  Archives are written by Spark's text
 writer with a record as a line and two line ends as the line separator, so any file system
 that Spark reaches will do; each file holds at most ``RECORDS`` records.  They are read back
 as binary files and parsed by Content-Length, so payloads may hold anything.
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import new_folder
+from pathloom.llm.kernel import materialize, new_folder
 
 RECORDS = 2000
+#: Revisit records of at most this many rows (about 90 MB) are broadcast; with more, pages are shuffled to them.
+BROADCAST_REVISITS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 SEPARATOR = "\r\n\r\n"
 #: The alphabets of base 32 and of Spark's conv() to base 32.
@@ -48,6 +51,11 @@ def headers(pages: DataFrame, least: int = 0) -> DataFrame:
     return own.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("original"))
 
 
+def revisits(heads: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, payload_digest, original) of every header that repeats a response's payload."""
+    return heads.join(headers(heads, least).drop("payload_bytes"), "payload_digest").where("page_id <> original").select("page_id", "payload_digest", "original").distinct()
+
+
 def with_digest(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest) of pages (page_id, url, html)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -57,8 +65,9 @@ def with_digest(pages: DataFrame) -> DataFrame:
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """One line (a WARC record without its final line ends) for each page (page_id, url, html)."""
     full = with_digest(pages)
-    joined = full.join(headers(full, least).drop("payload_bytes"), "payload_digest", "left")
-    revisit = F.coalesce(F.col("original") != F.col("page_id"), F.lit(False))
+    repeats = materialize(revisits(full.select("page_id", "payload_digest", "payload_bytes"), least), "revisits")
+    joined = full.join(F.broadcast(repeats) if repeats.count() <= BROADCAST_REVISITS else repeats, ["page_id", "payload_digest"], "left")
+    revisit = F.col("original").isNotNull()
     end = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(end + end))
     size = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
