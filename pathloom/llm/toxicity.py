@@ -3,18 +3,22 @@
 Two word models, one of toxic and one of ordinary labelled documents, share their lowest
 level.  A class interpolates its bigrams, then the bigrams of both classes together, then its
 own continuation counts (in how many different left contexts a word occurs, so copies of a
-text add nothing), then the continuation counts of both classes together.  Absolute discounts move the mass of rare expressions down to the shared counts.  A
-class's discount grows with its number of words, so both classes give the shared level the
-same part of their mass, and an expression that is rare in both says nothing.
-
-Counts live in tables of a fixed number of hashed counters (``2 ** BITS``), filled from
-every labelled training document, so what the driver gathers and broadcasts has a fixed
-size.  Counts are corrected by the mean load of the other keys that share a counter.
-
-A document's feature is the largest mean log-likelihood ratio of any run of ``RUN`` words
-(a shorter text is one run), so both likelihoods are normalised by length and a short toxic
-passage in a long text counts.  The decision threshold comes from a histogram of that
-feature over all labelled training documents.
+text add nothing), then the continuation counts of both classes together.  Every level's
+absolute discount is n1 / (n1 + 2 n2) of its own counts of counts.  What a context hands down
+is weighted alike in both classes, so an expression that neither has seen says nothing.
+
+All counts are exact and stay in tables of the shared folder that grow with the input: class
+counts of every bigram, and made from these the contexts of every word and the followers of
+every context.  They are joined with the words of the texts.  Only sums and a bit table reach
+the driver; the bit table holds the keys that can count, has ``KEY_BITS`` bits for each up to
+``2 ** MOST_BITS`` bits, and what it lets through by chance falls out in the join.
+
+A word's evidence is its log-likelihood ratio less the log of the classes' sizes, so it is
+positive where toxic is the likelier class.  A document's feature is the mean of the ``TOP``
+largest positive evidences of its different bigrams (missing ones are 0), so its length does
+not count and a short toxic passage in a long text does.  The decision threshold comes from a
+histogram of that feature over a fifth of the training documents, scored without their own
+counts; the final model counts every labelled training document.
 
 Defined results: null, empty and wordless texts have the feature 0; documents of an unknown
 label do not train; a document with several labels trains once for each; without labels of
@@ -23,6 +27,7 @@ both classes every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import IS_SPACE, blocks, crc_split, mix, span_hashes, word_spans
+from pathloom.llm.kernel import IS_SPACE, blocks, crc_split, materialize, mix, span_hashes, word_spans
 
-BITS = 20
-RUN = 4
-#: Absolute discounts of class bigrams and class words, for the smaller class.
-DISCOUNT_PAIR = 64.0
-DISCOUNT_WORD = 12.0
+TOP = 2
+KEY_BITS, MOST_BITS = 32, 28
+#: Words of training texts that a task counts before it hands the counts on.
+COUNT_WORDS = 4_000_000
 #: Labels of at most this many rows (48 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Keys and features of at most this many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 BINS = 4096
 LOW, HIGH = -16.0, 16.0
+#: The feature from which a document is toxic if no tuning document has one of the labels.
+UNTUNED = 1.0
 
 #: Letters (A-Z folded), digits and bytes over 127 carry a word; other bytes are skipped in its hash.
 _table = np.zeros(256, np.uint64)
@@ -60,141 +68,184 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hashes(folded, starts, ends, _table), np.searchsorted(starts, offsets)
 
 
-def _keys(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counter of each word, and of each word with the one before (0 at a document's start)."""
+def _pairs(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (0 at a document's start), and a hash of both."""
     before = np.zeros(len(ids), np.uint64)
     before[1:] = ids[:-1]
     heads = first[:-1]
     before[heads[heads < len(ids)]] = 0
-    shift = np.uint64(64 - BITS)
-    return (ids >> shift).astype(np.int64), (mix(before * np.uint64(0x9FB21C651E98DF25) + ids) >> shift).astype(np.int64), (before >> np.uint64(58)).astype(np.int64)
+    return before, mix(before * np.uint64(0x9FB21C651E98DF25) + ids)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: every used counter with its ordinary and toxic count, and for words a mask of 64 classes of left contexts."""
-    size = 1 << BITS
-    counts = np.zeros((2, 2, size), np.uint32)
-    mask = np.zeros((2, size), np.uint64)
+    """Rows (before, word, o, t, fo, ft): counts of bigrams in ordinary and toxic documents, of all and without the tuning fold."""
+    names = ["before", "word", "o", "t", "fo", "ft"]
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        before, word, pair, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        _, at, group = np.unique(pair, return_index=True, return_inverse=True)
+        by = np.bincount(group * 4 + kind, minlength=4 * len(at)).reshape(-1, 4)
+        made = [before[at].view(np.int64), word[at].view(np.int64), by[:, 0] + by[:, 2], by[:, 1] + by[:, 3], by[:, 0], by[:, 1]]
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in made], names=names)
+
     for batch in batches:
-        toxic = np.array(batch.column(1).to_pylist(), np.int64)
+        # 0 and 1: the label; 2 more in the tuning fold.
+        kinds = np.array(batch.column(1).to_pylist(), np.int64) + 2 * np.array(batch.column(2).to_pylist(), np.int64)
         for a, b, data, offsets in blocks(batch.column(0)):
             ids, first = word_ids(data, offsets)
-            if not len(ids):
-                continue
-            kind = np.repeat(toxic[a:b], np.diff(first))
-            word, pair, context = _keys(ids, first)
-            bit = np.uint64(1) << context.astype(np.uint64)
-            for c in (0, 1):
-                own = kind == c
-                np.bitwise_or.at(mask[c], word[own], bit[own])
-                np.add.at(counts[0, c], word[own], 1)
-                np.add.at(counts[1, c], pair[own], 1)
-    for level in (0, 1):
-        at = np.flatnonzero(counts[level].any(axis=0))
-        for i in range(0, len(at), 100_000):
-            k = at[i : i + 100_000]
-            masks = [mask[c, k].view(np.int64) if level == 0 else np.zeros(len(k), np.int64) for c in (0, 1)]
-            made = [(k + level * size).astype(np.int32), counts[level, 0, k].astype(np.int64), counts[level, 1, k].astype(np.int64), *masks]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["cell", "ordinary", "toxic", "ordinary_mask", "toxic_mask"])
+            if len(ids):
+                held.append((*(x := _pairs(ids, first))[:1], ids, x[1], np.repeat(kinds[a:b], np.diff(first))))
+            if sum(len(x[1]) for x in held) >= COUNT_WORDS:
+                yield from flush()
+    if held:
+        yield from flush()
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, tuning) of the training documents that have a label; tuning: the fold that sets the threshold."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    if labels.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    fold = F.expr("cast(floor(crc32(encode(cast(doc_id as string), 'UTF-8')) / 5) % 5 = 0 as int)").alias("tuning")
+    return docs.select("doc_id", "text").where(f"not {crc_split()}").join(known, "doc_id").select("doc_id", "text", "toxic", fold)
 
 
-def _contexts(mask: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Number of different left contexts: linear counting over 64 classes, and where nearly all are there, the word's count."""
-    filled = np.bitwise_count(mask).astype(float)
-    return np.where(filled >= 60, n, np.minimum(-64 * np.log1p(-np.minimum(filled, 63) / 64), n))
+def _discount(n1: int | None, n2: int | None) -> float:
+    """Kneser-Ney's estimate of the absolute discount; a half where no count is 1."""
+    return n1 / (n1 + 2 * (n2 or 0)) if n1 else 0.5
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 class Model:
-    """Log-likelihood ratio tables made from the summed counters."""
-
-    def __init__(self, cell: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, *masks: np.ndarray):
-        size = 1 << BITS
-        n = np.zeros((2, 2 * size))
-        n[0, cell], n[1, cell] = ordinary, toxic
-        seen = np.zeros((2, 2 * size), np.uint64)
-        for c in (0, 1):
-            seen[c, cell] = masks[c].view(np.uint64)
-        self.usable = bool(n[0, :size].sum() and n[1, :size].sum())
-        follows = [_contexts(seen[c, :size], n[c, :size]) for c in (0, 1)]
-        shared = _contexts(seen[0, :size] | seen[1, :size], n[:, :size].sum(axis=0)) + 0.5
-        shared /= shared.sum()
-        self.word, self.pair, self.seen = (np.zeros((2, size), np.float32) for _ in range(3))
-        self.below = np.ones(2, np.float32)
-        words = [max(1.0, f.sum()) for f in follows]
-        totals = [max(1.0, n[c, :size].sum()) for c in (0, 1)]
-        for c in (0, 1):
-            kept = np.maximum(follows[c] - DISCOUNT_WORD * words[c] / min(words), 0)
-            self.word[c] = (kept + (words[c] - kept.sum()) * shared) / words[c]
-            self.pair[c] = np.maximum(n[c, size:] - totals[c] / size - DISCOUNT_PAIR * totals[c] / min(totals), 0)
-            # The part of a context's mass that goes to the words below, alike for all contexts.
-            self.below[c] = 1 - self.pair[c].sum(dtype=np.float64) / totals[c]
-            self.seen[c] = np.maximum(n[c, :size], 1)
-        both = n.sum(axis=0)
-        self.common = np.maximum(both[size:] - sum(totals) / size - DISCOUNT_PAIR, 0).astype(np.float32)
-        self.common_below = 1 - self.common.sum(dtype=np.float64) / sum(totals)
-
-    def ratios(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log p(word | word before, toxic) - log p(word | word before, ordinary) of every word."""
-        word, pair, _ = _keys(ids, first)
-        before = np.concatenate(([0], word[:-1])) if len(word) else word
-        common = np.minimum(self.common[pair] / (self.seen[0][before] + self.seen[1][before]), 1)
-        p = [np.minimum(self.pair[c][pair] / self.seen[c][before], 1) + self.below[c] * (common + self.common_below * self.word[c][word]) for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        """The largest mean ratio over runs of RUN words of each document."""
-        out = np.zeros(len(column))
+    """Evidence of the bigrams and words that can count, in tables (pair, value) and (word, value); None without both classes."""
+
+    def __init__(self, pairs: DataFrame, words: DataFrame, contexts: DataFrame, o: str, t: str):
+        n, seen = {"o": F.col(o), "t": F.col(t), "b": F.col(o) + F.col(t)}, {"o": f"c{o}", "t": f"c{t}", "b": f"c{o}{t}"}
+        ones = lambda col, k: F.sum((col == k).cast("long"))
+        row = pairs.agg(*(ones(n[c], k).alias(f"{c}{k}") for c in n for k in (1, 2)), F.sum(o).alias("no"), F.sum(t).alias("nt")).first()
+        level = {c: _discount(row[f"{c}1"], row[f"{c}2"]) for c in n}
+        self.usable = bool(row.no and row.nt)
         if not self.usable:
-            return out
-        for a, _, data, offsets in blocks(column):
-            ids, first = word_ids(data, offsets)
-            if not len(ids):
-                continue
-            sums = np.concatenate(([0.0], np.cumsum(self.ratios(ids, first), dtype=np.float64)))
-            run = np.full(len(ids), -np.inf)
-            if len(ids) >= RUN:
-                run[: len(ids) - RUN + 1] = (sums[RUN:] - sums[:-RUN]) / RUN
-            lengths = np.diff(first)
-            stops = np.repeat(first[1:], lengths)
-            run[np.arange(len(ids)) + RUN > stops] = -np.inf
-            full = np.flatnonzero(lengths > 0)
-            best = np.maximum.reduceat(run, first[full])
-            short = lengths[full] < RUN
-            best[short] = ((sums[first[full + 1]] - sums[first[full]]) / np.maximum(1, lengths[full]))[short]
-            out[a + full] = best
-        return out
+            return
+        prior = max(0.0, math.log(row.no / row.nt))
+        deep = words.agg(
+            *(ones(F.col(seen[c]), k).alias(f"{c}{k}") for c in n for k in (1, 2)),
+            *(F.sum(seen[c]).alias(f"{c}n") for c in n),
+            *(F.sum((F.col(seen[c]) > 0).cast("long")).alias(f"{c}v") for c in n),
+        ).first()
+        d = {c: _discount(deep[f"{c}1"], deep[f"{c}2"]) for c in n}
+        # The discounts of bigrams and of words, for ordinary, toxic and both.
+        self.discounts = {"pair": level, "word": d}
+        down = max(d[c] * deep[f"{c}v"] / deep[f"{c}n"] for c in "ot")
+        floor = d["b"] * deep.bv / deep.bn / (deep.bv + 1)
+        shared = F.greatest(F.col(seen["b"]) - d["b"], F.lit(0.0)) / deep.bn + floor
+        # Each class's mass of a word in units of what its level hands down.
+        mass = {c: (F.greatest(F.col(seen[c]) - d[c], F.lit(0.0)) / (d[c] * deep[f"{c}v"]) + shared) * down for c in "ot"}
+        rated = words.where(F.col(seen["b"]) > 0).select("word", mass["o"].alias("qo"), mass["t"].alias("qt"))
+        self.words = materialize(rated.select("word", (F.log(F.col("qt") / F.col("qo")) - prior).alias("value")).where("value > 0"), "words")
+        # Only a bigram of a toxic text, or one that ends in a toxic word, can be or hide evidence.
+        some = pairs.where(n["b"] > 0).select("before", "word", n["o"].alias("o"), n["t"].alias("t"))
+        own = some.join(_small(self.words.select("word", F.lit(1).alias("toxic_word"))), "word", "left").where("t > 0 or toxic_word = 1")
+        own = materialize(own, "some").join(rated, "word")
+        types = contexts.select("before", *(F.col(f"f{x}").alias(f"f{c}") for c, x in (("o", o), ("t", t), ("b", o + t))), F.col(f"n{o}{t}").alias("nb"))
+        kept = {c: F.when(F.col(c) > 0, F.greatest(F.col(c) - level[c], F.lit(0.0)) / (level[c] * F.col(f"f{c}"))).otherwise(0.0) for c in "ot"}
+        common = F.greatest(F.col("o") + F.col("t") - level["b"], F.lit(0.0)) / F.col("nb")
+        back = level["b"] * F.col("fb") / F.col("nb")
+        ratio = F.log((kept["t"] + common + back * F.col("qt")) / (kept["o"] + common + back * F.col("qo")))
+        made = own.join(types, "before").select("before", "word", "toxic_word", (ratio - prior).alias("value")).where("value > 0 or toxic_word = 1")
+        self.pairs = materialize(made.select("before", "word", "value"), "evidence")
+        self.filters = [_filter(self.pairs), _filter(self.words)]
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, text_hash, feature) of texts (doc_id, text) whose feature isn't 0; null ids stay."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.filters)
+        texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+        asked = texts.mapInArrow(_ask(shared), "doc_id long, text_hash long, before long, word long")
+        known = asked.join(_small(self.pairs), ["before", "word"], "left").withColumnRenamed("value", "exact")
+        known = known.join(_small(self.words), "word", "left").select("doc_id", "text_hash", "before", "word", F.coalesce("exact", "value").alias("value")).where("value > 0").distinct()
+        best = F.expr(f"slice(sort_array(collect_list(value), false), 1, {TOP})")
+        return known.groupBy("doc_id", "text_hash").agg(best.alias("best")).select("doc_id", "text_hash", (F.expr("aggregate(best, 0D, (a, x) -> a + x)") / TOP).alias("feature"))
+
+
+def _places(before: np.ndarray | None, word: np.ndarray, bits: int) -> np.ndarray:
+    key = word if before is None else mix(before * np.uint64(0x9FB21C651E98DF25) + word)
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _filter(table: DataFrame) -> np.ndarray:
+    """A bit table of the keys (before and word, or word), put together by 64 bits in Spark; its size follows their number."""
+    bits = min(MOST_BITS, max(12, (KEY_BITS * table.count()).bit_length()))
+    columns = table.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _places(*([None, *(batch.column(i).to_numpy().view(np.uint64) for i in range(len(columns)))][-2:]), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], names=["at", "bit"])
 
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    got = table.select(*columns).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the training documents that have a label."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    if labels.count() <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    return docs.select("doc_id", "text").where(f"not {crc_split()}").join(known, "doc_id").select("text", "toxic")
+
+def _has(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _ask(filters):
+    """Rows (doc_id, text_hash, before, word): the different bigrams of each text that the bit tables let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, words = filters.value
+        sizes = [len(x).bit_length() + 5 for x in (pairs, words)]
+        for batch in batches:
+            for a, b, data, offsets in blocks(batch.column(2)):
+                ids, first = word_ids(data, offsets)
+                if not len(ids):
+                    continue
+                before, pair = _pairs(ids, first)
+                hit = np.flatnonzero(_has(pairs, _places(before, ids, sizes[0])) | _has(words, _places(None, ids, sizes[1])))
+                owner = np.searchsorted(first, hit, "right") - 1
+                order = np.lexsort((pair[hit], owner))
+                hit, owner = hit[order], owner[order]
+                new = np.ones(len(hit), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (pair[hit[1:]] != pair[hit[:-1]])
+                hit, rows = hit[new], pa.array(owner[new])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).take(rows), batch.column(1).slice(a, b - a).take(rows), pa.array(before[hit].view(np.int64)), pa.array(ids[hit].view(np.int64))],
+                    names=["doc_id", "text_hash", "before", "word"],
+                )
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     """The model and the feature value at which a document counts as toxic, from the training documents only."""
     train = _labelled(docs, labels)
-    counted = train.mapInArrow(_count, "cell int, ordinary long, toxic long, ordinary_mask long, toxic_mask long")
-    total = counted.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("ordinary_mask").alias("ordinary_mask"), F.bit_or("toxic_mask").alias("toxic_mask"))
-    got = total.toArrow()
-    model = Model(*(got.column(i).to_numpy() for i in range(5)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BINS), np.int64)
-        for batch in batches:
-            at = np.clip((shared.value.features(batch.column(0)) - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int64)
-            for c, k in zip(batch.column(1).to_pylist(), at.tolist(), strict=True):
-                counts[c, k] += 1
-        c, k = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(counts[c, k])], names=["toxic", "bin", "n"])
-
+    counted = train.select("text", "toxic", "tuning").mapInArrow(_count, "before long, word long, o long, t long, fo long, ft long")
+    pairs = materialize(counted.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in ("o", "t", "fo", "ft"))), "pairs")
+    some = {"o": "o > 0", "t": "t > 0", "ot": "o + t > 0", "fo": "fo > 0", "ft": "ft > 0", "foft": "fo + ft > 0"}
+    words = materialize(pairs.groupBy("word").agg(*(F.expr(f"count_if({x})").alias(f"c{k}") for k, x in some.items())), "contexts")
+    followers = [F.expr(f"count_if({x})").alias(f"f{k}") for k, x in some.items()]
+    contexts = materialize(pairs.groupBy("before").agg(*followers, F.expr("sum(o + t)").alias("not"), F.expr("sum(fo + ft)").alias("nfoft")), "followers")
+    model = Model(pairs, words, contexts, "o", "t")
+    if not model.usable:
+        return model, HIGH
+    tuned = Model(pairs, words, contexts, "fo", "ft")
     hist = np.zeros((2, BINS))
-    for toxic, k, n in train.mapInArrow(bins, "toxic int, bin int, n long").groupBy("toxic", "bin").agg(F.sum("n")).collect():
-        hist[toxic, k] = n
-    return model, _threshold(hist)
+    tuning = train.where("tuning = 1")
+    if tuned.usable:
+        found = _attach(tuning.select("doc_id", F.xxhash64("text").alias("text_hash"), "toxic"), tuned.features(tuning.select("doc_id", "text").distinct()))
+        place = F.expr(f"cast(least(greatest((feature - {LOW}) / {HIGH - LOW} * {BINS}, 0), {BINS - 1}) as int)")
+        for toxic, k, n in found.groupBy("toxic", place.alias("bin")).count().collect():
+            hist[toxic, k] = n
+    return model, _threshold(hist) if hist.sum(axis=1).all() else UNTUNED
 
 
 def _threshold(hist: np.ndarray) -> float:
@@ -208,17 +259,19 @@ def _threshold(hist: np.ndarray) -> float:
     return LOW + (best[0] + best[-1]) / 2 * (HIGH - LOW) / BINS
 
 
-def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """(doc_id, feature, score) of every row of docs: score is a logistic of the feature, 0.5 at the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _attach(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """rows (with doc_id and text_hash) and their feature, 0 where there is none; null ids meet."""
+    found = materialize(features, "features").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("feature").alias("_feature"))
+    joined = rows.join(_small(found), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return joined.withColumn("feature", F.coalesce("_feature", F.lit(0.0))).drop("_id", "_hash", "_feature")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feature = shared.value.features(batch.column(1))
-            made = 1 / (1 + np.exp(-np.clip(8 * (feature - threshold), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feature), pa.array(made)], names=["doc_id", "feature", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, feature double, score double")
+def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """(doc_id, feature, score) of every row of docs: score is a logistic of the feature, 0.5 at the threshold."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    found = _attach(rows, model.features(docs)) if model.usable else rows.withColumn("feature", F.lit(0.0))
+    power = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), 8 * (F.col("feature") - threshold)))
+    return found.select("doc_id", "feature", (1 / (1 + F.exp(-power))).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,13 +282,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score as toxic; all columns stay."""
     model, threshold = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, schema = docs.columns.index("text"), docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.features(batch.column(at)) < threshold))
-
-    return docs.mapInArrow(run, schema)
-
-
+    if not model.usable:
+        return docs
+    if threshold <= 0:
+        return docs.limit(0)
+    bad = model.features(docs).where(F.col("feature") >= threshold).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = _small(materialize(bad, "toxic"))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")

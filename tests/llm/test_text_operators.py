@@ -86,6 +86,30 @@ def test_toxicity_without_labels(spark):
     assert toxicity.judge(docs.limit(0), none).collect() == []
 
 
+def test_toxicity_counts_do_not_mix(spark):
+    """A toxic word and a frequent ordinary word whose hashes begin with the same 20 bits."""
+    names = [f"{a}{i}" for a in ("n", "t") for i in range(6000)]
+    data, offsets = kernel.buffer_of(pa.array([" ".join(names)]))
+    top = dict(zip(names, (toxicity.word_ids(data, offsets)[0] >> np.uint64(44)).tolist(), strict=True))
+    ordinary = {top[w]: w for w in names if w[0] == "n"}
+    bad = next(w for w in names if w[0] == "t" and top[w] in ordinary)
+    common = ordinary[top[bad]]
+    pick = random.Random(8)
+    plain = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        words = [pick.choice(plain) for _ in range(40)]
+        toxic = i % 4 == 0
+        for _ in range(1 if toxic else 6):
+            words.insert(pick.randint(0, len(words)), bad if toxic else common)
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    got = {r.doc_id: r for r in toxicity.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    out = [i for i in range(600) if got[i].held_out]
+    assert sum(got[i].predicted == labels[i][2] for i in out) > 0.95 * len(out)
+
+
+
 def test_chat_windows():
     pick = random.Random(1)
     bits = ["<|im_end|>", "<|im_start|>", "<|", "<\\|", "<\\\\|x", "a", "\n", "<", "|", "\\"]
