@@ -109,6 +109,24 @@ def test_toxicity_counts_do_not_mix(spark):
     assert sum(got[i].predicted == labels[i][2] for i in out) > 0.95 * len(out)
 
 
+def test_toxicity_rare_expressions(spark):
+    """Toxic words of about eight left contexts each count, as discounts come from counts of counts."""
+    pick = random.Random(6)
+    plain, rare = [f"w{i}" for i in range(400)], [f"bad{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(800):
+        words = [pick.choice(plain) for _ in range(40)]
+        for _ in range(2 if i % 4 == 0 else 0):
+            words.insert(pick.randint(0, len(words)), pick.choice(rare))
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs, said = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.judge(docs, said).collect()}
+    out = [i for i in range(800) if got[i].held_out]
+    assert sum(got[i].predicted == labels[i][2] for i in out) > 0.9 * len(out)
+    model, _ = toxicity.fit(docs, said)
+    assert all(0 < d <= 1 for level in model.discounts.values() for d in level.values())
+
 
 def test_chat_windows():
     pick = random.Random(1)
