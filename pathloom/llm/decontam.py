@@ -6,8 +6,10 @@ itself (A-Z folded, outer signs dropped).  Windows of ``WIDTH`` tokens with at l
 ``LITERALS`` ordinary words are hashed and joined with those of the benchmark items, so a
 question with other numbers or names still meets its original.  Matches of one document and
 item at one displacement must bind slots consistently: equal slots of the item to equal
-slots of the document and different ones to different ones.  An item counts as leaked when
-its consistent windows reach ``LEAST_WINDOWS``, or all that it has.
+slots of the document and different ones to different ones; windows that hold a slot bound
+twice don't count, and a group with such a slot counts if the rest is at least half of the
+item's windows.  An item counts as leaked when its consistent windows reach
+``LEAST_WINDOWS``, or all that it has.
 
 Every text is read whole and once.  A table of fixed size (``2 ** FILTER_BITS`` bits) of the
 items' windows drops nearly all document windows before the join; the items' windows are
@@ -20,6 +22,8 @@ nothing; repeated rows of one id and text give one row; an empty table gives no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +175,18 @@ def _filter(items: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
+def _consistent(met: DataFrame, group: list[str]) -> DataFrame:
+    """met without the windows that hold a slot bound twice in their group; clashed: 1 where the group had one."""
+    pairs = met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*group, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y")).where("x <> 0").distinct()
+    none = F.lit(None).cast("long")
+    twice = pairs.groupBy(*group, "x").count().where("count > 1").select(*group, "x", none.alias("y")).union(pairs.groupBy(*group, "y").count().where("count > 1").select(*group, none, "y"))
+    clash = materialize(twice.groupBy(*group).agg(F.collect_set("x").alias("xs"), F.collect_set("y").alias("ys")), "clashes")
+    few = F.broadcast(clash) if clash.count() <= BROADCAST_WINDOWS else clash
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in group]
+    both = met.alias("m").join(few.alias("c"), [reduce(and_, same)], "left").where("xs is null or not (arrays_overlap(item_slots, xs) or arrays_overlap(slots, ys))")
+    return both.select("m.*", F.expr("cast(xs is not null as int)").alias("clashed"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> DataFrame:
     """Leaked items: (doc_id, text_hash, item_id, n_windows, item_windows, slots, changed_slots), one row for each document text and item."""
     known = materialize(item_windows(items), "items")
@@ -181,6 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> Data
     met = found.join(F.broadcast(known) if few else known, "window").withColumn("shift", F.col("place") - F.col("item_place"))
     met = materialize(met.drop("window"), "met")
     group = ["doc_id", "text_hash", "item_id", "item_hash", "shift"]
+    met = materialize(_consistent(met, group), "consistent")
     pairs = (
         met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
         .select(*group, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y"))
@@ -188,13 +205,14 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> Data
         .distinct()
     )
     zero = F.lit(0).cast("long")
-    sizes = met.groupBy(*group).agg(F.countDistinct("item_place").alias("n"), F.max("item_windows").alias("item_windows"))
+    sizes = met.groupBy(*group).agg(F.countDistinct("item_place").alias("n"), F.max("item_windows").alias("item_windows"), F.max("clashed").alias("clashed"))
+    sizes = sizes.where("clashed = 0 or 2 * n >= item_windows").drop("clashed")
     parts = [
         pairs.groupBy(*group, "x").agg(F.count("*").alias("bound"), F.sum(F.expr("cast(x <> y as int)")).alias("changed")).select(*group, "bound", F.lit(1).cast("long").alias("slots"), "changed", zero.alias("n"), zero.alias("item_windows")),
         pairs.groupBy(*group, "y").agg(F.count("*").alias("bound")).select(*group, "bound", zero, zero, zero, zero),
         sizes.select(*group, F.lit(1).cast("long"), zero, zero, "n", "item_windows"),
     ]
-    judged = parts[0].union(parts[1]).union(parts[2]).groupBy(*group).agg(F.max("bound").alias("bound"), *(F.sum(c).alias(c) for c in ("slots", "changed", "n", "item_windows"))).where("bound = 1")
+    judged = parts[0].union(parts[1]).union(parts[2]).groupBy(*group).agg(F.max("bound").alias("bound"), *(F.sum(c).alias(c) for c in ("slots", "changed", "n", "item_windows"))).where("n > 0")
     total = judged.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(
         F.sum("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.min("changed").alias("changed_slots")
     )

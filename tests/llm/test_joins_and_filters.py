@@ -201,6 +201,19 @@ def test_decontamination(spark):
     assert decontam.report(df.limit(0), bench).collect() == [] == decontam.report(df, bench.limit(0)).collect()
 
 
+def test_decontamination_clash(spark):
+    """One of two equal numbers edited, or two numbers made equal, in a long copy; short ones: document 3 above."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    first, second = " ".join(words[:10]) + " 12 ", " ".join(words[10:20])
+    rest = " ".join(words[20:])
+    bench = spark.createDataFrame([(1, f"{first}{second} 12 {rest}"), (2, f"x {first}{second} 14 {rest}")], "item_id long, text string")
+    df = docs(spark, [(1, f"{first}{second} 13 {rest}"), (2, f"x {first}{second} 12 {rest}"), (3, "other words")])
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.report(df, bench).collect()}
+    assert {(1, 1), (2, 2)} <= set(got) and all(d != 3 for d, _ in got)
+    assert got[1, 1] == 55 - 8 - 8
+    assert [r.doc_id for r in decontam.keep_clean(df, bench).collect()] == [3]
+
+
 def test_warc(spark, tmp_path):
     htmls = ["same", "", None, "a\r\n\r\nWARC/1.1\r\nb", "same", "é漢", "same", "x" * 5000, ""]
     rows = [(i * 7 - 3, f"http://h/{i}\r\nX: y" if i == 3 else f"http://h/{i}", h) for i, h in enumerate(htmls)]
