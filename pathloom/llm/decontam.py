@@ -15,8 +15,12 @@ Every text is read whole and once.  A table of fixed size (``2 ** FILTER_BITS``
 items' windows drops nearly all document windows before the join; the items' windows are
 broadcast if they are few, and joined by a shuffle otherwise.
 
-Defined results: null or short texts, and items with fewer than ``WIDTH`` tokens, match
-nothing; repeated rows of one id and text give one row; an empty table gives no rows.
+Items without such a window (short ones, or mostly of numbers, units and names) have windows
+of their whole length: their words, compared one by one, and with at least ``LITERALS``
+ordinary words their template tokens too.  Documents are searched for windows of these
+lengths only; an item of a single word is found wherever that word stands.
+
+Defined results: null and wordless texts match nothing; repeated rows of one id and text give one row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import blocks, materialize, mix, span_hashes, word_spans
+from pathloom.llm.kernel import blocks, materialize, mix, powers, span_hashes, word_spans
 
 WIDTH = 8
 LITERALS = 4
@@ -64,17 +68,17 @@ _raw = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
 _units = np.sort(_hashes(_raw, *word_spans(_raw, np.array([0, len(_raw)]))))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token of every word or run of names, its slot value (0 for an ordinary word), and the first token of each document."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template token of every word or run of names, its slot value (0 for an ordinary word), and the first token of each document; hash of every word, and the first word of each document."""
     starts, ends = word_spans(data, offsets)
     core = np.flatnonzero(_is_core[data])
     if not len(core):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     at = np.searchsorted(core, starts)
     inner = core[np.minimum(at, len(core) - 1)]
     real = (at < len(core)) & (inner < ends)
     starts, ends = inner[real], ends[real]
-    first = np.searchsorted(starts, offsets)
+    first = heads_of = np.searchsorted(starts, offsets)
     folded = data.copy()
     wide = np.flatnonzero(data[:-1] == 0xC3) + 1
     wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
@@ -108,7 +112,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         slot = slot[np.append(heads[1:], len(joined)) - 1]
         token = token[heads]
         first = np.searchsorted(heads, first)
-    return token, slot, first
+    return token, slot, first, value, heads_of
 
 
 def windows(token: np.ndarray, slot: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,44 +129,80 @@ def windows(token: np.ndarray, slot: np.ndarray, first: np.ndarray) -> tuple[np.
     return mix(rolled[at]), at, np.searchsorted(first, at, "right") - 1
 
 
-def _emit(key: str, filter_=None):
-    """Rows (key, hash of the text, window, place in its text, slots) of windows that pass the filter."""
+def _runs(keys: np.ndarray, first: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As windows, of every run of ``kind // 2`` words (odd kinds) or template tokens."""
+    n = kind // 2
+    at = np.arange(max(0, len(keys) - n + 1))
+    at = at[at + n <= np.repeat(first[1:], np.diff(first))[: len(at)]]
+    up, down = powers(len(keys) + 1)
+    sums = np.zeros(len(keys) + 1, np.uint64)
+    np.cumsum(keys * up[: len(keys)], out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * down[at] + mix(np.array([kind], np.uint64))), at, np.searchsorted(first, at, "right") - 1
+
+
+def _whole(token: np.ndarray, slot: np.ndarray, first: np.ndarray, value: np.ndarray, heads: np.ndarray, owner: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, hash, first token, document) of the whole texts that have no window."""
+    left = np.setdiff1d(np.flatnonzero(np.diff(first) > 0), owner)
+    plain = np.concatenate(([0], np.cumsum(slot == 0)))
+    found = []
+    for d in left.tolist():
+        sides = [(value, heads, 1)]
+        if plain[first[d + 1]] - plain[first[d]] >= LITERALS:
+            sides.append((token, first, 0))
+        for keys, starts, odd in sides:
+            a, b = int(starts[d]), int(starts[d + 1])
+            kind = 2 * (b - a) + odd
+            found.append((kind, _runs(keys[a:b], np.array([0, b - a]), kind)[0], np.array([a]), np.array([d])))
+    return found
+
+
+def _emit(key: str, filter_=None, kinds: tuple[int, ...] | None = None):
+    """Rows (key, hash of the text, window, place in its text, slots, kind) of windows that pass the filter; kinds: the whole lengths to look for, None for items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if filter_ is None else filter_.value
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(2)):
-                token, slot, first = tokens(data, offsets)
+                token, slot, first, value, heads = tokens(data, offsets)
                 found, at, owner = windows(token, slot, first)
-                if bits is not None and len(found):
-                    place = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                    found, at, owner = found[ok], at[ok], owner[ok]
-                slots = slot[at[:, None] + np.arange(WIDTH)].view(np.int64).reshape(-1) if len(at) else np.zeros(0, np.int64)
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a).take(rows),
-                        batch.column(1).slice(a, b - a).take(rows),
-                        pa.array(found.view(np.int64)),
-                        pa.array((at - first[owner]).astype(np.int32)) if len(at) else pa.array([], pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * WIDTH), pa.array(slots)),
-                    ],
-                    names=[key, "text_hash", "window", "place", "slots"],
-                )
+                sets = [(0, found, at, owner)]
+                if kinds is None:
+                    sets += _whole(token, slot, first, value, heads, owner)
+                else:
+                    sets += [(k, *_runs(*((value, heads) if k % 2 else (token, first)), k)) for k in kinds]
+                for kind, found, at, owner in sets:
+                    if bits is not None and len(found):
+                        place = (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        ok = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                        found, at, owner = found[ok], at[ok], owner[ok]
+                    # Windows of words have no slots.
+                    width = WIDTH if kind == 0 else 0 if kind % 2 else kind // 2
+                    slots = slot[at[:, None] + np.arange(width)].view(np.int64).reshape(-1) if len(at) and width else np.zeros(0, np.int64)
+                    rows = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(a, b - a).take(rows),
+                            batch.column(1).slice(a, b - a).take(rows),
+                            pa.array(found.view(np.int64)),
+                            pa.array((at - (heads if kind % 2 else first)[owner]).astype(np.int32)) if len(at) else pa.array([], pa.int32()),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(slots)),
+                            pa.array(np.full(len(at), kind, np.int64)),
+                        ],
+                        names=[key, "text_hash", "window", "place", "slots", "kind"],
+                    )
 
     return run
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, window, item_place, item_slots, item_windows) of benchmark items (item_id, text); of items with one id each text counts."""
+    """(item_id, window, item_place, item_slots, item_windows, item_kind) of benchmark items (item_id, text); of items with one id each text counts."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = rows.mapInArrow(_emit("item_id"), "item_id long, text_hash long, window long, place int, slots array<long>").distinct()
-    sizes = found.groupBy("item_id", "text_hash").agg(F.count("*").alias("item_windows"))
+    found = rows.mapInArrow(_emit("item_id"), "item_id long, text_hash long, window long, place int, slots array<long>, kind long").distinct()
+    sizes = found.groupBy("item_id", "text_hash").agg(F.countDistinct("place").alias("item_windows"))
     # Null ids meet too.
     ids = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("item_id", "text_hash")]
     both = found.alias("f").join(sizes.alias("s"), ids[0] & ids[1])
-    return both.select("f.item_id", F.col("f.text_hash").alias("item_hash"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item_windows")
+    return both.select("f.item_id", F.col("f.text_hash").alias("item_hash"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item_windows", F.col("kind").alias("item_kind"))
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -191,12 +231,14 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> Data
     """Leaked items: (doc_id, text_hash, item_id, n_windows, item_windows, slots, changed_slots), one row for each document text and item."""
     known = materialize(item_windows(items), "items")
     table = docs.sparkSession.sparkContext.broadcast(_filter(known))
+    kinds = tuple(sorted(r.item_kind for r in known.where("item_kind > 0").select("item_kind").distinct().collect()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = rows.mapInArrow(_emit("doc_id", table), "doc_id long, text_hash long, window long, place int, slots array<long>")
+    found = rows.mapInArrow(_emit("doc_id", table, kinds), "doc_id long, text_hash long, window long, place int, slots array<long>, kind long")
     few = known.count() <= BROADCAST_WINDOWS
     met = found.join(F.broadcast(known) if few else known, "window").withColumn("shift", F.col("place") - F.col("item_place"))
-    met = materialize(met.drop("window"), "met")
-    group = ["doc_id", "text_hash", "item_id", "item_hash", "shift"]
+    # Windows of words and of tokens have places of their own.
+    met = materialize(met.where("kind = item_kind").drop("window", "kind"), "met")
+    group = ["doc_id", "text_hash", "item_id", "item_hash", "item_kind", "shift"]
     met = materialize(_consistent(met, group), "consistent")
     pairs = (
         met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))

@@ -214,6 +214,16 @@ def test_decontamination_clash(spark):
     assert [r.doc_id for r in decontam.keep_clean(df, bench).collect()] == [3]
 
 
+def test_decontamination_items_without_windows(spark):
+    far = " ".join(f"other{i}" for i in range(50))
+    items = ["What is 45% of 80?", "What is the capital of France?", "Anna 12 km Tom 7 kg Jim 3 Bob 5 miles Ann 9", "12 30 7 9"]
+    bench = spark.createDataFrame([*enumerate(items), (9, ""), (8, None)], "item_id long, text string")
+    texts = [f"{far}. {x} {far}" for x in items]
+    texts += [f"{far} what is 45% of 81? {far}", f"{far} what is the capital of Italy? {far}", f"{far} and What is the capital of France {far}", f"{far} 12 30 7", "9", "", None, items[3]]
+    got = {(r.doc_id, r.item_id) for r in decontam.report(docs(spark, enumerate(texts)), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 1), (6, 1), (11, 3)}
+
+
 def test_warc(spark, tmp_path):
     htmls = ["same", "", None, "a\r\n\r\nWARC/1.1\r\nb", "same", "é漢", "same", "x" * 5000, ""]
     rows = [(i * 7 - 3, f"http://h/{i}\r\nX: y" if i == 3 else f"http://h/{i}", h) for i, h in enumerate(htmls)]
