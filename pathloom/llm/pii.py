@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
 Base entities (email, ip, card, phone) come from expressions and checks.  They are the seeds:
-the chunk of text right before a seed is a lexical pattern.  Patterns and instances (values
-of identifier-like words with a digit) form a graph.  Scores go back and forth over it: a
+the whole chunk of text right before a seed is a lexical pattern (over 64 characters its hash stands for it).  Patterns and instances (values
+of identifier-like words with a digit, of any length) form a graph.  Scores go back and forth over it: a
 pattern's score is the part of all its occurrences in the corpus that trusted instances
 follow, an instance's score is the chance that one of its patterns is right.  Instances that
 end above ``ACCEPT`` are found wherever they stand, as kind ``id``; base spans always stay.
@@ -39,16 +39,25 @@ _RULES = (
     (2, r"[0-9](?:[ -]?[0-9])++", r"t RLIKE r'[0-9](?:[ -]?[0-9]){11}'", f"char_length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
     (3, r"\+[0-9][ ().0-9-]+[0-9]", "instr(t, '+') > 0", f"char_length({_DIGITS}) BETWEEN 9 AND 15"),
 )
-_WORD = (4, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+", "t RLIKE '[0-9]'", "char_length(x.m) <= 64")
+_WORD = (4, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+", "t RLIKE '[0-9]'", "true")
+
+
+def _pattern(chunk: str) -> str:
+    """SQL: a chunk as a pattern; a long one by its hash."""
+    return f"IF(char_length({chunk}) > 64, concat('\\t', sha2({chunk}, 256)), {chunk})"
+
+
+#: SQL: the last chunk of a gap; split is linear where an expression for the end would backtrack.
+_LAST = _pattern("lower(coalesce(try_element_at(filter(split(x.b, r'\\s+'), w -> w <> ''), -1), ''))")
 
 
 def _find(kind: int, rx: str, guard: str, valid: str) -> str:
     """SQL: the valid matches of one kind in ``t``, in order; gaps between matches give the positions."""
     return f"""CASE WHEN {guard} THEN aggregate(
-      zip_with(regexp_extract_all(t, r'{rx}', 0), split(t, r'{rx}', -1), (m, g) -> named_struct('m', m, 'n', char_length(g), 'b', right(g, 48))),
+      zip_with(regexp_extract_all(t, r'{rx}', 0), split(t, r'{rx}', -1), (m, g) -> named_struct('m', m, 'n', char_length(g), 'b', g)),
       named_struct('at', 0, 'out', cast(array() AS array<{_SPAN}>)),
       (s, x) -> IF(x.m IS NULL, s, named_struct('at', s.at + x.n + char_length(x.m), 'out', IF({valid}, array_append(s.out,
-        named_struct('start', s.at + x.n, 'k', {kind}, 'end', s.at + x.n + char_length(x.m), 'v', xxhash64(lower(x.m)), 'p', lower(regexp_extract(x.b, r'(\\S+)\\s*$', 1)))), s.out))),
+        named_struct('start', s.at + x.n, 'k', {kind}, 'end', s.at + x.n + char_length(x.m), 'v', xxhash64(lower(x.m)), 'p', {_LAST})), s.out))),
       s -> s.out) ELSE cast(array() AS array<{_SPAN}>) END"""
 
 
@@ -73,7 +82,7 @@ def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     patterns = materialize(patterns, "patterns")
     few = _small(patterns.select("p"))
     # What else follows a pattern: all its occurrences as a word of the corpus.
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("p"))
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).select(F.expr(_pattern("w")).alias("p"))
     counted = words.join(few, "p").groupBy("p").agg(F.count("*").alias("all"))
     totals = patterns.join(counted, "p", "left").select("p", F.greatest("n", F.coalesce("all", F.lit(0))).cast("double").alias("total"))
     graph = materialize(edges.join(totals, "p"), "graph")

@@ -169,6 +169,20 @@ def test_pii_discovers_and_redacts(spark):
     assert pii.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("gap", [" ", " " * 60])
+@pytest.mark.parametrize("chunk", ["contact:", "contact-" * 12 + ":"])
+def test_pii_long_values_and_chunks(spark, chunk, gap):
+    key = "0123456789abcdef" * 8
+    texts = [(i, f"some words {chunk}{gap}user{i}@mail{i}.com and more") for i in range(6)]
+    texts += [(10, f"please {chunk}{gap}{key} today"), (11, f"again {key} here"), (12, "no id")]
+    got = {r.doc_id: r.spans for r in pii.extract(docs(spark, texts)).collect()}
+    start = len("please ") + len(chunk) + len(gap)
+    assert got[10] == f"id:{start}:{start + 128}" and got[11] == "id:6:134" and got[12] == ""
+    # The chunk in other places of the corpus lowers its precision, however long it is.
+    more = [*texts, *((100 + i, f"{chunk} nothing") for i in range(40))]
+    assert {r.doc_id: r.spans for r in pii.extract(docs(spark, more)).collect()}[10] == ""
+
+
 def test_url_filter(spark):
     urls = [None, "no url", "http://A.Example.ORG/es/1?x", "https://example.org/en/12", "http://x.com/fr/", "http://com/de/z#y", "ftp://notcom.net", "http://org", "http://b.com?q=/de/", "http://b.com/de/1", "http://b.com/de/2", "http://b.com/de/3", "http://b.com/xx"]
     urls += [f"http://fine.org/{i}" for i in range(60)] + [f"http://bad.com/de/{i}" for i in range(40)] + ["http://bad.com/other", "http://sub.bad.com/other"]
