@@ -2,7 +2,7 @@
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  A control string inside a text can't be
 mistaken for one: in ``<``, any backslashes, ``|`` one more backslash is inserted, and
-reading removes it.  Prefix sums of turn sizes choose windows of whole turns: each window
+reading removes it.  Prefix sums of turn sizes (tokens in op3, each turn encoded by itself) choose windows of whole turns: each window
 holds the system turn (if the conversation begins with one), as many earlier turns as fit
 in ``history``, and as many new turns as fit in ``budget``.  Repeated turns are masked, so
 each assistant text is a target in exactly one window.
@@ -47,6 +47,10 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
+def formatted(role: str, text: str) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
+
+
 def windows(turns: list[tuple[str, str]], budget: int = BUDGET, history: int = HISTORY, size: Callable[[str], int] = len) -> list[dict]:
     """The windows of one conversation of (role, text) turns; ``size`` measures a formatted turn."""
     heads = [f"{START}{escape_role(role)}\n" for role, _ in turns]
@@ -76,6 +80,17 @@ def windows(turns: list[tuple[str, str]], budget: int = BUDGET, history: int = H
     return out
 
 
+def token_sizes(ranks: str) -> Callable[[list[str]], list[int]]:
+    """Measures many formatted turns at once by their tokens in the vocabulary file ``ranks``."""
+
+    def run(turns: list[str]) -> list[int]:
+        from pathloom.llm import bpe
+
+        return [len(ids) // 4 for ids, _ in bpe.encode_texts(turns, bpe.merger_for(ranks))]
+
+    return run
+
+
 def read_window(window: dict) -> tuple[list[tuple[str, str]], list[str]]:
     """The new turns of a window and the texts under its mask, both unescaped."""
     text, at, turns = window["formatted"], 0, []
@@ -89,8 +104,8 @@ def read_window(window: dict) -> tuple[list[tuple[str, str]], list[str]]:
     return turns[window["repeated"] :], [unescape(text[m["start"] : m["end"]]) for m in window["mask"]]
 
 
-def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, windows: array of WINDOW) of conversation rows (conv_id, turn, role, text)."""
+def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, sizes: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """(conv_id, windows: array of WINDOW) of conversation rows (conv_id, turn, role, text); ``sizes`` measures formatted turns, None in characters."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
@@ -98,13 +113,18 @@ def format_conversations(rows: DataFrame, budget: int = BUDGET, history: int = H
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
-                made = [windows([(t["role"], t["text"]) for t in turns], budget, history) for turns in batch.column(1).to_pylist()]
+                found = [[(t["role"], t["text"]) for t in turns] for turns in batch.column(1).to_pylist()]
+                size: Callable[[str], int] = len
+                if sizes is not None:
+                    every = list({formatted(*t) for turns in found for t in turns})
+                    size = dict(zip(every, sizes(every), strict=True)).__getitem__
+                made = [windows(turns, budget, history, size) for turns in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(_window_type))], names=["conv_id", "windows"])
 
     return whole.mapInArrow(run, f"conv_id long, windows array<{WINDOW}>")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(rows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), all read from the windows."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -127,4 +147,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 made = [pa.array([r[i] for r in rows], pa.string() if i in (1, 3) else pa.int64()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -26,11 +26,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from pathloom.llm import chat
 
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(table(spark, sf_dir, "conversations").select(*own.columns).union(own)))
+    return chat.read_back(chat.format_conversations(table(spark, sf_dir, "conversations").select(*own.columns).union(own), sizes=chat.token_sizes(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,22 @@ def test_chat_rows(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).collect() == []
 
 
+def test_chat_budget_in_tokens(spark):
+    known = bpe.Merger(bpe.load_ranks(RANKS))
+    turns = [("user" if k % 2 else "assistant", ("some common words here " if k < 12 else "\u2603\u16a0\u0b83 ") * 9) for k in range(24)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    count = lambda text: len(next(bpe.encode_texts([text], known))[0]) // 4
+    made = chat.format_conversations(df, 300, 80, chat.token_sizes(RANKS)).first().windows
+    want = chat.windows(turns, 300, 80, count)
+    assert [w.formatted for w in made] == [w["formatted"] for w in want]
+    assert [w.formatted for w in made] != [w["formatted"] for w in chat.windows(turns, 300, 80)]
+    assert any(len(w.formatted) > 300 for w in made)
+    read = [chat.read_window(w.asDict(recursive=True)) for w in made]
+    assert [t for new, _ in read for t in new] == turns
+    for w, (new, _) in zip(made, read, strict=True):
+        assert len(new) == 1 or count(w.formatted) <= 300
+
+
 def test_languages(spark):
     pick = random.Random(2)
     words = {"xx": ["aba", "bab", "abba"], "yy": ["zoo", "ozo", "ooz"], "zz": ["kéké", "éke", "keé"]}
