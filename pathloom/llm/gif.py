@@ -4,15 +4,18 @@
 codes, global and local palettes, interlacing, transparency and the disposal methods
 (leave, background, previous).  Frames come with their delay and a histogram of 64 colours
 (two bits a channel) of the composited canvas.  ``encode`` writes frames of 8-bit samples
-losslessly; its ``literal`` mode clears the code table before codes widen, so that packing
-and reading are array operations, and its ``compress`` mode builds the table.
+losslessly, compressed with a table of up to 4096 strings.  The width of a code follows from
+its place after the last clear code, so codes are packed and unpacked as arrays.
 
-Defined results: null media has no frames; null text is stored as 64 zero bytes; a stream
-that is no GIF or ends early raises ValueError.
+Defined results: null media has no frames; null text is stored as 64 zero bytes; a text of
+more than ``MOST_ROWS`` rows has several frames; equal texts give equal media; an empty table
+gives no rows; other columns of the media table pass through, but one named ``frames`` is
+replaced; a stream that is no GIF or ends early raises ValueError.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -21,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import blocks
+from pathloom.llm.kernel import blocks, lean
 
 WIDTH = 64
 MOST_ROWS = 65535
-CLEAR, END = 256, 257
-#: Literal codes between two clear codes: codes stay nine bits wide.
-LITERALS = 254
+#: Width of the longest LZW codes.
+MOST_BITS = 12
+OPAQUE = np.uint32(0xFF000000)
 
 FRAME = "struct<frame:int,delay_ms:int,left:int,top:int,width:int,height:int,samples:binary,histogram:array<int>>"
 _frame_type = pa.struct(
@@ -41,141 +44,115 @@ def colours() -> np.ndarray:
     return np.stack((i & 0xE0, (i << 3) & 0xE0, (i << 6) & 0xC0), axis=1).astype(np.uint8)
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Nine-bit codes, least significant bit first; eight codes fill nine bytes."""
-    n = len(codes)
-    grid = np.zeros((-(-n // 8), 8), np.uint64)
-    grid.reshape(-1)[:n] = codes
-    low = grid[:, 0].copy()
-    for k in range(1, 8):
-        low |= grid[:, k] << np.uint64(9 * k)
-    out = np.empty((len(grid), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = grid[:, 7] >> np.uint64(1)
-    return out.reshape(-1)[: (9 * n + 7) // 8].tobytes()
-
-
-def _unpack9(raw: np.ndarray) -> np.ndarray:
-    n = len(raw) * 8 // 9
-    groups = -(-n // 8)
-    grid = np.zeros((groups, 9), np.uint8)
-    part = raw[: groups * 9]
-    grid.reshape(-1)[: len(part)] = part
-    low = np.ascontiguousarray(grid[:, :8]).view("<u8").reshape(-1)
-    codes = np.empty((groups, 8), np.uint16)
-    for k in range(7):
-        codes[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-    codes[:, 7] = (low >> np.uint64(63)) | (grid[:, 8].astype(np.uint64) << np.uint64(1))
-    return codes.reshape(-1)[:n]
-
-
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """Codes for 8-bit samples that never use the code table."""
-    n = len(samples)
-    rows = max(1, -(-n // LITERALS))
-    grid = np.zeros((rows, LITERALS + 1), np.uint16)
-    grid[:, 0] = CLEAR
-    padded = np.zeros(rows * LITERALS, np.uint16)
-    padded[:n] = samples
-    grid[:, 1:] = padded.reshape(rows, LITERALS)
-    codes = grid.reshape(-1)[: n + rows]
-    return _pack9(np.concatenate((codes, [END])))
+@functools.cache
+def _schedule(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Width and place in bits of every code after a clear code: the reader adds a string with each code but the first."""
+    full = 1 << MOST_BITS
+    strings = np.minimum((1 << size) + 1 + np.maximum(np.arange(full), 1), full - 1)
+    widths = np.maximum(size + 1, np.floor(np.log2(strings)).astype(np.int64) + 1)
+    return widths, np.cumsum(widths) - widths
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of at most 12 bits, least significant bit first."""
+    stops = np.cumsum(widths)
+    at = stops - widths
+    value = codes << (at & 7)
+    out = np.zeros((int(stops[-1]) + 7) // 8 + 2, np.int64)
+    for k in range(3):
+        # A byte's parts come from different bits, so their sum is their union.
+        out += np.bincount((at >> 3) + k, weights=value >> 8 * k & 255, minlength=len(out)).astype(np.int64)
+    return out[:-2].astype(np.uint8).tobytes()
+
+
+def _unpack(padded: np.ndarray, bit: int, widths: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Codes of these widths and places after ``bit``, as many as there are; padded has three more bytes than it holds codes."""
+    n = int(np.searchsorted(places + widths, 8 * (len(padded) - 3) - bit, "right"))
+    at = places[:n] + bit
+    byte = at >> 3
+    value = padded[byte].astype(np.int64) | padded[byte + 1].astype(np.int64) << 8 | padded[byte + 2].astype(np.int64) << 16
+    return value >> (at & 7) & (1 << widths[:n]) - 1
+
+
+def _runs(samples: bytes, size: int) -> Iterator[list[int]]:
+    """Codes of samples, a list for each filling of the string table."""
+    rest = iter(samples)
+    own = next(rest, None)
+    while own is not None:
+        out: list[int] = []
+        table: dict[int, int] = {}
+        find, put, following = table.get, out.append, (1 << size) + 2
+        for byte in rest:
+            longer = find(own << 8 | byte)
+            if longer is not None:
+                own = longer
+                continue
+            put(own)
+            if following == (1 << MOST_BITS) - 1:
+                own = byte
+                break
+            table[own << 8 | byte] = following
+            following += 1
+            own = byte
+        else:
+            put(own)
+            own = None
+        yield out
 
 
 def lzw_compress(samples: bytes, size: int = 8) -> bytes:
-    """Codes for samples below ``2 ** size``, with a table of up to 4096 strings."""
-    clear = 1 << size
-    out, held, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width = size + 1
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(held & 255)
-            held >>= 8
-            bits -= 8
-
-    put(clear)
-    own = b""
-    following = clear + 2
-    for k in range(len(samples)):
-        longer = own + samples[k : k + 1]
-        if len(longer) == 1 or longer in table:
-            own = longer
-            continue
-        put(own[0] if len(own) == 1 else table[own])
-        if following < 4096:
-            table[longer] = following
-            following += 1
-            if following > (1 << width) and width < 12:
-                width += 1
-        else:
-            put(clear)
-            table.clear()
-            width, following = size + 1, clear + 2
-        own = samples[k : k + 1]
-    if own:
-        put(own[0] if len(own) == 1 else table[own])
-        following += 1
-        if following > (1 << width) and width < 12:
-            width += 1
-    put(clear + 1)
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
+    """Codes for samples below ``2 ** size``, with a string table that is cleared when it is full."""
+    schedule, _ = _schedule(size)
+    codes, widths = [[1 << size]], [schedule[:1]]
+    for run in _runs(samples, size):
+        codes.append([*run, 1 << size])
+        widths.append(schedule[: len(run) + 1])
+    # The last run ends in the end code.
+    codes[-1][-1] += len(codes) > 1
+    flat = np.concatenate(codes) if len(codes) > 1 else np.array([1 << size, (1 << size) + 1])
+    return _pack(flat, np.concatenate(widths) if len(codes) > 1 else np.repeat(schedule[:1], 2))
 
 
 def lzw_decode(raw: np.ndarray, size: int, count: int) -> np.ndarray:
-    """The first ``count`` samples of a code stream."""
-    if size == 8:
-        codes = _unpack9(raw)
-        ends = np.flatnonzero(codes == END)
-        body = codes[: ends[0]] if len(ends) else codes
-        clears = np.flatnonzero(body == CLEAR)
-        if len(ends) and len(clears) and clears[0] == 0 and not (body > END).any() and np.diff(np.append(clears, len(body))).max() <= LITERALS + 2:
-            literal = body[body < CLEAR].astype(np.uint8)
-            if len(literal) >= count:
-                return literal[:count]
-    return _lzw_general(raw.tobytes(), size, count)
-
-
-def _lzw_general(raw: bytes, size: int, count: int) -> np.ndarray:
-    clear, end = 1 << size, (1 << size) + 1
+    """The first ``count`` samples of a code stream: the codes between two clear codes are unpacked at once, then looked up."""
+    clear, end, full = 1 << size, (1 << size) + 1, 1 << MOST_BITS
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, out, total = list(roots), size + 1, [], 0
-    held = bits = 0
-    before: bytes | None = None
-    for byte in raw:
-        held |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            bits -= width
-            if code == clear:
-                table, width, before = list(roots), size + 1, None
-                continue
-            if code == end or total >= count:
-                bits = -1
+    padded = np.concatenate((raw, np.zeros(3, np.uint8)))
+    out: list[bytes] = []
+    total, bit, ended = 0, 0, False
+    while total < count and not ended:
+        widths, places = _schedule(size)
+        read: list[int] = []
+        while True:
+            codes = _unpack(padded, bit, widths, places)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            used = int(stop[0]) if len(stop) else len(codes)
+            read += codes[:used].tolist()
+            if len(stop):
+                bit += int(places[used] + widths[used])
+                ended = int(codes[used]) == end
                 break
+            if used < full:
+                ended = True
+                break
+            # A full table may be used on and on.
+            bit += int(places[-1] + widths[-1])
+            widths, places = np.full(full, MOST_BITS), np.arange(full) * MOST_BITS
+        table = list(roots)
+        add, put = table.append, out.append
+        before = b""
+        for code in read:
             if code < len(table):
                 own = table[code]
-            elif code == len(table) and before is not None:
+            elif code == len(table) and before:
                 own = before + before[:1]
             else:
                 raise ValueError("a code beyond the table")
-            if before is not None and len(table) < 4096:
-                table.append(before + own[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            out.append(own)
+            if before and len(table) < full:
+                add(before + own[:1])
+            put(own)
             total += len(own)
             before = own
-        if bits < 0:
-            break
     if total < count:
         raise ValueError("image data ends early")
     return np.frombuffer(b"".join(out), np.uint8)[:count]
@@ -209,26 +186,32 @@ def _read_blocks(data: np.ndarray, at: int) -> tuple[np.ndarray, int]:
     return np.concatenate(parts), at + 1
 
 
-def encode(frames: list[tuple[np.ndarray, int]], palette: np.ndarray | None = None, compress: bool = False) -> bytes:
+def encode(frames: list[tuple[np.ndarray, int]], palette: np.ndarray | None = None) -> bytes:
     """A GIF89a of (rows x columns samples, delay in milliseconds) frames at the origin."""
     palette = colours() if palette is None else palette
     height, width = max(f.shape[0] for f, _ in frames), max(f.shape[1] for f, _ in frames)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
     for samples, delay in frames:
-        flat = np.ascontiguousarray(samples).reshape(-1)
-        raw = lzw_compress(flat.tobytes()) if compress else lzw_literal(flat)
+        raw = lzw_compress(np.ascontiguousarray(samples).tobytes())
         out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 4, delay // 10, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, samples.shape[1], samples.shape[0], 0), b"\x08", _sub_blocks(raw)]
     return b"".join(out) + b"\x3b"
 
 
-def _histogram(palette: np.ndarray, samples: np.ndarray | None, canvas: np.ndarray | None) -> list[int]:
-    """Counts of 64 colours; of the canvas only what is opaque."""
-    if samples is not None:
-        counts = np.bincount(samples, minlength=256)[: len(palette)]
-        p = palette[: len(counts)].astype(np.int64)
-        return np.bincount((p[:, 0] >> 6) * 16 + (p[:, 1] >> 6) * 4 + (p[:, 2] >> 6), weights=counts, minlength=64).astype(np.int64).tolist()
-    seen = canvas[canvas[..., 3] > 0].astype(np.int64)
-    return np.bincount((seen[:, 0] >> 6) * 16 + (seen[:, 1] >> 6) * 4 + (seen[:, 2] >> 6), minlength=64).tolist()
+def _histogram(canvas: np.ndarray) -> list[int]:
+    """Counts of 64 colours (two bits a channel) of what is opaque."""
+    seen = canvas[canvas >= OPAQUE]
+    return np.bincount((seen >> 2 & 0x30 | seen >> 12 & 0xC | seen >> 22 & 3).astype(np.int64), minlength=64).tolist()
+
+
+def _colours_of(palette: np.ndarray) -> np.ndarray:
+    """A palette as 256 opaque RGBA values (red lowest); samples beyond it have its last colour."""
+    rgb = palette[np.minimum(np.arange(256), len(palette) - 1)].astype(np.uint32)
+    return rgb[:, 0] | rgb[:, 1] << np.uint32(8) | rgb[:, 2] << np.uint32(16) | OPAQUE
+
+
+def _rows_in_order(h: int) -> np.ndarray:
+    """The row that each stored row of an interlaced frame belongs to."""
+    return np.concatenate([np.arange(first, h, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
 def decode(raw: bytes, pixels: bool = False) -> list[dict]:
@@ -242,7 +225,7 @@ def decode(raw: bytes, pixels: bool = False) -> list[dict]:
         n = 2 << (flags & 7)
         everywhere = data[at : at + 3 * n].reshape(n, 3)
         at += 3 * n
-    canvas: np.ndarray | None = None
+    canvas = np.zeros((height, width), np.uint32)
     delay, disposal, clear_index = 0, 0, -1
     out: list[dict] = []
     undo: tuple | None = None
@@ -271,45 +254,25 @@ def decode(raw: bytes, pixels: bool = False) -> list[dict]:
             raise ValueError("no palette")
         size = raw[at]
         codes, at = _read_blocks(data, at + 1)
-        samples = lzw_decode(codes, size, w * h)
+        grid = lzw_decode(codes, size, w * h).reshape(h, w)
         if flags & 0x40:
-            grid = np.empty((h, w), np.uint8)
-            order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
-            grid[order] = samples.reshape(h, w)
-            samples = grid.reshape(-1)
-        # A frame that covers the whole screen and is opaque needs no canvas for its histogram.
-        plain = not pixels and canvas is None and undo is None and clear_index < 0 and disposal < 2 and (left, top, w, h) == (0, 0, width, height)
-        if not plain:
-            if canvas is None:
-                canvas = np.zeros((height, width, 4), np.uint8)
-                if out:
-                    canvas[:] = _paint(out[-1])
-            if undo is not None:
-                y, x, part = undo
-                canvas[y : y + part.shape[0], x : x + part.shape[1]] = part
-            area = canvas[top : top + h, left : left + w]
-            undo = (top, left, area.copy() if disposal == 3 else np.zeros_like(area)) if disposal in (2, 3) else None
-            grid = samples.reshape(h, w)[: area.shape[0], : area.shape[1]]
-            seen = grid != clear_index
-            area[seen, :3] = palette[np.minimum(grid, len(palette) - 1)][seen]
-            area[seen, 3] = 255
-        made = {"frame": len(out), "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "samples": samples.tobytes(), "histogram": _histogram(palette, samples if plain else None, canvas)}
+            grid = grid[np.argsort(_rows_in_order(h))]
+        if undo is not None:
+            y, x, part = undo
+            canvas[y : y + part.shape[0], x : x + part.shape[1]] = part
+        area = canvas[top : top + h, left : left + w]
+        undo = (top, left, area.copy() if disposal == 3 else np.zeros_like(area)) if disposal in (2, 3) else None
+        shown = grid[: area.shape[0], : area.shape[1]]
+        colour = _colours_of(palette)[shown]
+        area[:] = colour if clear_index < 0 else np.where(shown == clear_index, area, colour)
+        made = {"frame": len(out), "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "samples": grid.tobytes(), "histogram": _histogram(canvas)}
         if pixels:
-            made["pixels"] = canvas.copy()
-        if plain:
-            made["palette"] = palette
+            made["pixels"] = canvas.view(np.uint8).reshape(height, width, 4).copy()
         out.append(made)
         delay, disposal, clear_index = 0, 0, -1
     raise ValueError("no trailer")
 
 
-def _paint(frame: dict) -> np.ndarray:
-    """The canvas after a frame that was stored without one."""
-    palette = frame["palette"]
-    grid = np.frombuffer(frame["samples"], np.uint8).reshape(frame["height"], frame["width"])
-    return np.concatenate((palette[np.minimum(grid, len(palette) - 1)], np.full((*grid.shape, 1), 255, np.uint8)), axis=2)
-
-
 def text_frames(text: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """A text's bytes, padded by zeros to a positive multiple of WIDTH, as frames of WIDTH columns."""
     rows = max(1, -(-len(text) // WIDTH))
@@ -329,7 +292,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = [encode(text_frames(data[i:j])) for i, j in zip(places, places[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def read_frames(stored: DataFrame, column: str = "media") -> DataFrame:
@@ -342,10 +305,10 @@ def read_frames(stored: DataFrame, column: str = "media") -> DataFrame:
         for batch in batches:
             for a, b, _, _ in blocks(batch.column(at)):
                 part = batch.slice(a, b - a)
-                made = [[{k: v for k, v in f.items() if k != "palette"} for f in decode(m)] if m is not None else [] for m in part.column(at).to_pylist()]
+                made = [decode(m) if m is not None else [] for m in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(_frame_type))], names=[*kept, "frames"])
 
-    return stored.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema) + f", frames array<{FRAME}>")
+    return stored.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema) + f", frames array<{FRAME}>")
 
 
 def digests(docs: DataFrame) -> DataFrame:
