@@ -7,15 +7,19 @@ Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pathloom.plans.scratch import materialize, new_folder
+from pathloom.plans.scratch import drop_table, materialize, new_folder
 
-__all__ = ["blocks", "buffer_of", "crc_split", "materialize", "mix", "new_folder", "shingle_sets", "span_hashes", "word_spans", "words"]
+__all__ = ["blocks", "buffer_of", "crc_split", "drop_table", "fresh", "lean", "materialize", "mix", "new_folder", "shingle_sets", "span_hashes", "without_keys", "word_spans", "words"]
 
 BLOCK_BYTES = 1 << 20
 
@@ -32,6 +36,35 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def lean(run: Callable) -> Callable:
+    """run (a function of Arrow batches); when a task ends its freed memory goes back to the system, as Python workers stay alive."""
+
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run_lean
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"own_{uuid.uuid4().hex[:12]}" for _ in range(4 * n + 4))
+    return [x for x in names if x not in taken][:n]
+
+
+def without_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text hash are not in keys (doc_id, text_hash); null ids meet, and docs may have any other columns."""
+    a, b = fresh(docs, 2)
+    keys = keys.withColumnsRenamed({"doc_id": a, "text_hash": b})
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(docs["text"]) == F.col(b)), "left_anti")
+
+
 def crc_split(column: str = "doc_id") -> str:
     """SQL: true for the held-out fifth of the documents."""
     return f"coalesce(crc32(encode(cast({column} as string), 'UTF-8')) % 5 = 0, false)"
