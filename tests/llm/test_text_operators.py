@@ -1,8 +1,11 @@
 """Tokens, toxicity, chat windows, languages and media against plain versions."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +131,95 @@ def test_toxicity_rare_expressions(spark):
     assert all(0 < d <= 1 for level in model.discounts.values() for d in level.values())
 
 
+class PlainModel:
+    """The toxicity docstring's levels, word by word, over (text, toxic) rows."""
+
+    def __init__(self, rows):
+        self.pairs = [Counter(), Counter()]
+        for text, toxic in rows:
+            w = plain_words(text)
+            self.pairs[toxic].update(zip(["", *w], w, strict=False))
+        self.pairs.append(self.pairs[0] + self.pairs[1])
+        self.deep = [Counter(w for _, w in c) for c in self.pairs]
+        self.total, self.kinds = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+        for c, total, kinds in zip(self.pairs, self.total, self.kinds, strict=True):
+            for (h, _), n in c.items():
+                total[h] += n
+                kinds[h] += 1
+        cut = lambda c: toxicity.discount(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
+        self.d, self.dd = [cut(c) for c in self.pairs], [cut(c) for c in self.deep]
+        self.down = max(self.dd[c] * len(self.deep[c]) / self.deep[c].total() for c in (0, 1))
+        self.prior = max(0.0, math.log(self.pairs[0].total() / self.pairs[1].total()))
+
+    def word(self, c, w):
+        deep, d = self.deep, self.dd
+        share = d[2] * len(deep[2]) / deep[2].total()
+        both = max(deep[2][w] - d[2], 0) / deep[2].total() + share / (len(deep[2]) + 1)
+        kept = sum(n - d[c] for n in deep[c].values())
+        return (1 - self.down) * max(deep[c][w] - d[c], 0) / kept + self.down * both
+
+    def back(self, c, h):
+        return self.d[c] * self.kinds[c][h] / self.total[c][h]
+
+    def pair(self, c, h, w):
+        low = self.word(c, w)
+        if self.total[2][h]:
+            low = max(self.pairs[2][h, w] - self.d[2], 0) / self.total[2][h] + self.back(2, h) * low
+        if not (self.total[0][h] and self.total[1][h]):
+            return low
+        hand = max(self.back(0, h), self.back(1, h))
+        return (1 - hand) * max(self.pairs[c][h, w] - self.d[c], 0) / (self.total[c][h] * (1 - self.back(c, h))) + hand * low
+
+    def feature(self, text):
+        w = plain_words(text)
+        found = [math.log(self.pair(1, h, x) / self.pair(0, h, x)) - self.prior for h, x in zip(["", *w], w, strict=False)]
+        return sum(max(0.0, x) for x in found) / len(w) if w else 0.0
+
+
+def plain_words(text):
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+@pytest.mark.parametrize("rows_at_once", [2_000_000, 0])
+def test_toxicity_equals_plain_model(spark, monkeypatch, rows_at_once):
+    """Features equal those of a model written word by word, whose probabilities sum to 1; by look-up and by joins."""
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", rows_at_once)
+    monkeypatch.setattr(toxicity, "COUNT_WORDS", 500)
+    pick = random.Random(12)
+    names = [f"w{int(i**1.5)}" for i in range(60)]
+    texts = [" ".join(pick.choice(names[: pick.choice([5, 20, 60])]) for _ in range(pick.randint(1, 60))) for _ in range(150)]
+    texts += [texts[0], texts[0], "", None, "W0, w1! w2", "only here", "x " * 30_000 + "foul thing", " ".join(texts * 3)]
+    train = [(t + (" foul thing" if i % 3 == 0 and i % 2 else ""), int(i % 3 == 0)) for i, t in enumerate(t or "" for t in texts[:120])]
+    plain = PlainModel(train)
+    known = sorted(plain.deep[2])
+    for h in [*known[:40], "", "unseen"]:
+        for c in (0, 1):
+            assert abs(sum(plain.pair(c, h, w) for w in [*known, "unseen"]) - 1) < 1e-9
+    model = toxicity.Model(spark.createDataFrame(train, "text string, toxic int"))
+    assert (model.table is None) == (rows_at_once == 0)
+    rows = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    got = model.features(rows).collect()
+    assert len(got) == len({(r.doc_id, r.text_hash) for r in got})
+    found = {r.doc_id: r.feature for r in got}
+    want = {**{i: plain.feature(t) for i, t in enumerate(texts)}, None: plain.feature(texts[0])}
+    assert set(found) == {i for i, x in want.items() if x > 1e-9}
+    assert all(abs(want[i] - x) < 1e-6 for i, x in found.items())
+
+
+def test_toxicity_columns_and_repeats(spark):
+    rows, labels = _toxic_rows()
+    rows = [*rows, *[(r[0], r[1], *r[2:]) for r in rows[:30]], (None, "vile scummy rotten vile", None, None, None), (7000, "vile rotten " * 200_000, None, None, None)]
+    names = ["_id", "_hash", "_feature", "feature", "text_hash", "score", "toxic", "tuning", "word", "before", "value"]
+    docs = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], DOCS + "".join(f", {n} string" for n in names))
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.judge(docs, said).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.score) for r in got}) == 602
+    kept = toxicity.keep_clean(docs, said)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if not r.predicted)
+    assert {r.predicted for r in got if r.doc_id in (None, 7000)} == {1}
+
+
 def test_chat_windows():
     pick = random.Random(1)
     bits = ["<|im_end|>", "<|im_start|>", "<|", "<\\|", "<\\\\|x", "a", "\n", "<", "|", "\\"]
@@ -183,13 +275,97 @@ def test_languages(spark):
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "abc", None, None, 3)], DOCS)).collect()] == ["und"]
 
 
-@pytest.mark.parametrize("compress", [False, True])
-def test_gif_round_trip(compress):
+@pytest.mark.parametrize("at_once", [4_000_000, 50])
+def test_languages_equal_plain_sets(spark, monkeypatch, at_once):
+    """Predictions and scores against exact sets of n-grams; 70 languages need two slices."""
+    monkeypatch.setattr(langid, "COUNT_GRAMS", at_once)
+    pick = random.Random(4)
+    names = [f"l{i:02}" for i in range(70)] if at_once > 100 else ["b", "a", "c"]
+    words = {x: ["".join(pick.choice("abcdefghé") for _ in range(pick.randint(2, 7))) for _ in range(12)] for x in names}
+    text = lambda x: " ".join(pick.choice(words[x] + words[names[0]][:3]) for _ in range(pick.randint(1, 30)))
+    rows = [(i, text(x), x) for i, x in enumerate(names * (6 if len(names) > 9 else 60))]
+    rows += [(5000, "zzzz", None), (5001, text(names[1]).upper() * 3000, "b"), (None, text(names[2]), None), (5000, "zzzz", None), (5003, "ab", "a"), (5004, None, "a")]
+    clash = ["lang_pred", "score", "held_out", "gram", "n", "cell", "lettered"]
+    df = spark.createDataFrame([(*r, *["q"] * len(clash)) for r in rows], "doc_id long, text string, lang string" + "".join(f", {c} string" for c in clash))
+
+    def plain(t):
+        raw = bytes(b if b > 127 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in t.encode())
+        return [raw[k : k + 4] for k in range(len(raw) - 3) if raw[k : k + 4] != b"    "]
+
+    counts, docs = {}, Counter()
+    for i, t, x in rows:
+        if t is not None and x is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(x, Counter()).update(plain(t))
+            docs[x] += 1
+    share = {x: {g: n / c.total() for g, n in c.items() if n / c.total() >= langid.LEAST_SHARE} for x, c in counts.items()}
+    best = Counter()
+    for c in share.values():
+        best |= Counter(c)
+    sets = {x: {g for g, v in c.items() if v >= langid.CONTRAST * best[g]} for x, c in share.items()}
+    found = langid.identify(df).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    for i, t, _ in rows:
+        hits = {x: sum(g in sets[x] for g in plain(t)) for x in sorted(sets)} if t else {}
+        if t is None:
+            want, score = "und", 0.0
+        elif not sum(hits.values()):
+            want, score = max(sorted(docs), key=lambda x: docs[x]), 1 / len(docs)
+        else:
+            want = max(hits, key=lambda x: hits[x])
+            score = hits[want] / sum(hits.values())
+        assert by_id[i].lang_pred == want and abs(by_id[i].score - score) < 1e-3, (i, t, want)
+
+
+def plain_lzw(raw, size):
+    """Samples of a code stream, bit by bit."""
+    bits = "".join(f"{b:08b}"[::-1] for b in raw)
+    clear, at, width, out = 1 << size, 0, size + 1, b""
+    table, before = {}, b""
+    while True:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear:
+            table, width, before = {i: bytes([i]) for i in range(clear)}, size + 1, b""
+            table[clear] = table[clear + 1] = b""
+        elif code == clear + 1:
+            return out
+        else:
+            own = table[code] if code in table else before + before[:1]
+            if before and len(table) < 4096:
+                table[len(table)] = before + own[:1]
+                width = max(width, min(12, len(table).bit_length()))
+            out += own
+            before = own
+
+
+def test_lzw_equals_plain_reader():
+    pick = np.random.default_rng(8)
+    for size, n in ((8, 0), (8, 1), (8, 300), (8, 40000), (2, 700), (4, 30000), (8, 9000)):
+        for top in (2, 1 << size):
+            raw = pick.integers(0, top, n).astype(np.uint8)
+            codes = gif.lzw_compress(raw.tobytes(), size)
+            assert plain_lzw(codes, size) == raw.tobytes()
+            assert gif.lzw_decode(np.frombuffer(codes, np.uint8), size, n).tobytes() == raw.tobytes()
+    assert len(gif.lzw_compress(b"some words " * 5000)) < 6000
+
+
+def test_lzw_full_table_without_clear():
+    """A stream that goes on with a full table: literals of twelve bits after 4096 strings."""
+    pick = np.random.default_rng(3)
+    samples = pick.integers(0, 256, 12000)
+    widths = np.concatenate(([9], gif._schedule(8)[0], np.full(len(samples) + 1 - 4096, 12)))
+    codes = np.concatenate(([256], samples, [257]))
+    raw = np.frombuffer(gif._pack(codes, widths), np.uint8)
+    assert plain_lzw(raw, 8) == samples.astype(np.uint8).tobytes() == gif.lzw_decode(raw, 8, len(samples)).tobytes()
+
+
+def test_gif_round_trip():
     pick = np.random.default_rng(4)
-    for n in (1, 63, 254, 255, 256, 5000, 70000):
+    for n in (1, 63, 254, 255, 256, 5000, 70000, 65535 * 64 + 1):
         for samples in (pick.integers(0, 256, n), pick.integers(0, 3, n)):
             frames = gif.text_frames(samples.astype(np.uint8))
-            read = gif.decode(gif.encode(frames, compress=compress))
+            read = gif.decode(gif.encode(frames))
             assert b"".join(f["samples"] for f in read) == b"".join(f.tobytes() for f, _ in frames)
             assert [f["delay_ms"] for f in read] == [40] * len(frames)
             assert sum(read[0]["histogram"]) == len(read[0]["samples"])
