@@ -1,16 +1,19 @@
 """WARC archives with revisit resolution.
 
-Headers (id, payload digest, length) are shuffled by digest and reduced to the smallest id
-of each; that record is the response, all others become revisit records that refer to it and
-hold the original's HTTP headers without its payload.  Payloads are not shuffled: what comes
-back to the pages is the list of revisit records, broadcast while it is short.  Archives are written by Spark's text
-writer with a record as a line and two line ends as the line separator, so any file system
-that Spark reaches will do; each file holds at most ``RECORDS`` records.  They are read back
-as binary files and parsed by Content-Length, so payloads may hold anything.
+Headers (id, payload digest, length) are read once, shuffled by digest and reduced to the
+smallest id of each digest that occurs more than once; that record is the response, all others
+become revisit records that refer to it and hold the original's HTTP headers without its
+payload.  Payloads are not shuffled while the list of revisit records is short enough to be
+broadcast back to the pages.  Archives are written by Spark's text writer with a record as a
+line and two line ends as the line separator, so any file system that Spark reaches will do.
+``SIZES`` bounds a file's bytes: small records share files, a large one has its own.  Archives
+are read back as binary files and parsed by Content-Length, so payloads may hold anything;
+``resolved`` joins revisit records to their original responses.
 
 Defined results: a null payload is empty; equal payloads of fewer than ``least`` bytes are
 all responses; a null id is written as a record of its own that is always a response; of
-rows with one id and one payload each is written.  Empty tables give no rows.
+rows with one id and one payload each is written; other columns of pages, of any name, are not
+read; a single record must stay below 2 GB. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import materialize, new_folder
+from pathloom.llm.kernel import drop_table, lean, materialize, new_folder
 
-RECORDS = 2000
+#: Payloads up to so many bytes are written so many to a file at most; longer ones alone.
+SIZES = ((1 << 16, 1000), (1 << 20, 64), (None, 1))
+#: Payload bytes that are handed on at a time when archives are read.
+READ_BYTES = 4 << 20
 #: Revisit records of at most this many rows (about 90 MB) are broadcast; with more, pages are shuffled to them.
 BROADCAST_REVISITS = 500_000
 DATE = "2024-01-01T00:00:00Z"
@@ -46,14 +52,20 @@ def record_id(page: Column) -> Column:
 
 
 def headers(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(payload_digest, payload_bytes, original): the response of every digest, counts aggregated before the shuffle."""
-    own = pages.select("payload_digest", "payload_bytes", "page_id").where(f"payload_bytes >= {least}")
-    return own.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("original"))
+    """(payload_digest, original): the response of every digest that occurs more than once, counts aggregated before the shuffle."""
+    own = pages.where(f"payload_bytes >= {least} and page_id is not null").groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("other"))
+    return own.where("original <> other").drop("other")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_REVISITS else df
 
 
 def revisits(heads: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, payload_digest, original) of every header that repeats a response's payload."""
-    return heads.join(headers(heads, least).drop("payload_bytes"), "payload_digest").where("page_id <> original").select("page_id", "payload_digest", "original").distinct()
+    originals = materialize(headers(heads, least), "originals")
+    repeats = heads.join(_small(originals), "payload_digest").where("page_id <> original").select("page_id", "payload_digest", "original")
+    return materialize(repeats.distinct(), "revisits")
 
 
 def with_digest(pages: DataFrame) -> DataFrame:
@@ -62,11 +74,9 @@ def with_digest(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """One line (a WARC record without its final line ends) for each page (page_id, url, html)."""
-    full = with_digest(pages)
-    repeats = materialize(revisits(full.select("page_id", "payload_digest", "payload_bytes"), least), "revisits")
-    joined = full.join(F.broadcast(repeats) if repeats.count() <= BROADCAST_REVISITS else repeats, ["page_id", "payload_digest"], "left")
+def records(full: DataFrame, repeats: DataFrame) -> DataFrame:
+    """One line (a WARC record without its final line ends) for each page that with_digest gave, and its revisit among repeats."""
+    joined = full.join(_small(repeats), ["page_id", "payload_digest"], "left")
     revisit = F.col("original").isNotNull()
     end = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(end + end))
@@ -92,8 +102,19 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> None:
-    """Write deduplicated archives of pages into a new folder."""
-    records(pages, least).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS).text(folder)
+    """Write deduplicated archives of pages (page_id, url, html) into a new folder, in one folder for each class of SIZES."""
+    full = with_digest(pages)
+    heads = materialize(full.select("page_id", "payload_digest", "payload_bytes"), "heads")
+    repeats = revisits(heads, least)
+    low = -1
+    for i, (high, most) in enumerate(SIZES):
+        sized = f"payload_bytes > {low}" + (f" and payload_bytes <= {high}" if high else "")
+        low = high
+        # The first class is written even without records, so that there is a folder to read.
+        if i == 0 or not heads.where(sized).isEmpty():
+            records(full.where(sized), repeats).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most).text(f"{folder}/size{i}")
+    for used in (heads, repeats):
+        drop_table(used)
 
 
 def _named(head: bytes) -> dict[bytes, bytes]:
@@ -141,37 +162,47 @@ def read(spark, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows: list[dict] = []
+                rows, size = [], 0
                 for record in parse(batch.column(0)[i].as_py()):
                     rows.append(record)
-                    if len(rows) == 500:
+                    size += len(record["payload"] or b"")
+                    if len(rows) == 500 or size >= READ_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=_arrow)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_arrow)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInArrow(run, _SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+    return files.select("content").mapInArrow(lean(run), _SCHEMA)
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with the payload of the response that a revisit record refers to."""
-    originals = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload").alias("_payload")).dropDuplicates(["refers_to"])
-    return records.join(originals, "refers_to", "left").withColumn("payload", F.coalesce("payload", "_payload")).drop("_payload")
+    """records whose revisits have what their original response (of the page that they refer to, and of their digest) holds: payload, payload_bytes and payload_digest."""
+    known = [c for c in ("payload", "payload_bytes", "payload_digest") if c in records.columns]
+    asked = records.where("record_type = 'revisit'")
+    wanted = _small(materialize(asked.select("refers_to", "payload_digest").distinct(), "referred"))
+    found = records.where("record_type = 'response'").withColumnRenamed("page_id", "refers_to_page").join(
+        wanted.select(F.col("refers_to").alias("refers_to_page"), F.col("payload_digest").alias("asked_digest")), "refers_to_page"
+    )
+    found = found.where("payload_digest = asked_digest").select("refers_to_page", "asked_digest", *(F.col(c).alias(f"found_{c}") for c in known)).dropDuplicates(["refers_to_page", "asked_digest"])
+    met = asked.join(found, (F.col("refers_to") == F.col("refers_to_page")) & (F.col("payload_digest") == F.col("asked_digest")), "left")
+    answered = met.select(*(F.col(f"found_{c}").alias(c) if c in known else F.col(c) for c in records.columns))
+    return records.where("record_type = 'response'").union(answered)
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """The op10 row of every page, read back from the archives; a response's digest and size are taken from its stored payload."""
+    """The op10 row of every page, read back from the archives: digest and size are computed from stored payloads, a revisit's from its original's."""
     folder = new_folder(pages.sparkSession, "warc")
     write(pages, folder)
-    stored = read(pages.sparkSession, folder)
     own = F.col("payload").isNotNull()
-    return stored.select(
+    light = read(pages.sparkSession, folder).select(
         "page_id",
         F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(own, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
     )
+    return resolved(materialize(light, "records"))
 
 
 def oracle() -> str:

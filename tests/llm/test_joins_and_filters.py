@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -251,14 +252,40 @@ def test_warc(spark, tmp_path):
         want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""])
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
     assert got[None].record_type == "response"
-    folder = f"file://{tmp_path}/archives"
-    warc.write(df, folder, least=5)
-    whole = {r.page_id: r for r in warc.resolved(warc.read(spark, folder)).collect()}
-    assert all(bytes(whole[i].payload).decode() == (h or "") for i, _, h in rows)
-    assert all(r.record_type == "response" for r in whole.values())
+    for least, kinds in ((0, {"response": 6, "revisit": 4}), (5, {"response": 10})):
+        folder = f"file://{tmp_path}/archives{least}"
+        warc.write(df, folder, least=least)
+        read = warc.read(spark, folder)
+        assert {r.record_type: r["count"] for r in read.groupBy("record_type").count().collect()} == kinds
+        assert read.where("record_type = 'revisit' and payload is not null").isEmpty()
+        whole = {r.page_id: r for r in warc.resolved(read).collect()}
+        assert all(bytes(whole[i].payload).decode() == (h or "") for i, _, h in rows)
+        assert all(whole[i].payload_bytes == len((h or "").encode()) for i, _, h in rows)
     assert warc.digests(df.limit(0)).collect() == []
 
 
+def test_warc_large_records_and_clashes(spark, tmp_path, monkeypatch):
+    """Files stay below a number of bytes whatever the records; repeated ids; more revisits than are broadcast."""
+    monkeypatch.setattr(warc, "SIZES", ((100, 3), (2000, 2), (None, 1)))
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 1)
+    htmls = ["s%d" % (i % 5) for i in range(12)] + ["m%d" % (i % 3) * 300 for i in range(7)] + ["L%d" % (i % 2) * 40_000 for i in range(4)]
+    rows = [(i, "http://h", h, "x", 1, None) for i, h in enumerate(htmls)] + [(3, "http://h", "other text", "x", 1, None), (3, "http://h", "s3", "x", 1, None), (40, "http://h", "other text", "x", 1, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, original int, record_type string").coalesce(1)
+    folder = f"{tmp_path}/archives"
+    warc.write(df, f"file://{folder}")
+    for i, (most, number) in enumerate(warc.SIZES):
+        files = [f for f in os.listdir(f"{folder}/size{i}") if f.startswith("part-")]
+        assert len(files) > 1 and all(os.path.getsize(f"{folder}/size{i}/{f}") <= number * ((most or 80_000) + 900) for f in files)
+    got = sorted((r.page_id, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digests(df).collect())
+    first = {}
+    for i, _, h, *_ in rows:
+        first[h] = min(first.get(h, i), i)
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert got == sorted((i, sha(h), len(h), "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, _, h, *_ in rows)
+    whole = warc.resolved(warc.read(spark, f"file://{folder}")).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in whole) == sorted((i, h) for i, _, h, *_ in rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
