@@ -20,7 +20,9 @@ of their whole length: their words, compared one by one, and with at least ``LIT
 ordinary words their template tokens too.  Documents are searched for windows of these
 lengths only; an item of a single word is found wherever that word stands.
 
-Defined results: null and wordless texts match nothing; repeated rows of one id and text give one row; an empty table gives no rows.
+Defined results: null and wordless texts match nothing; texts are read whole, however long;
+repeated rows of one id and text give one row; of items with one id each text counts; an empty
+table gives no rows; other columns of documents, of any name, pass through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import blocks, materialize, mix, powers, span_hashes, word_spans
+from pathloom.llm.kernel import blocks, drop_table, lean, materialize, mix, powers, span_hashes, without_keys, word_spans
 
 WIDTH = 8
 LITERALS = 4
@@ -197,7 +199,7 @@ def _emit(key: str, filter_=None, kinds: tuple[int, ...] | None = None):
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, window, item_place, item_slots, item_windows, item_kind) of benchmark items (item_id, text); of items with one id each text counts."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = rows.mapInArrow(_emit("item_id"), "item_id long, text_hash long, window long, place int, slots array<long>, kind long").distinct()
+    found = rows.mapInArrow(lean(_emit("item_id")), "item_id long, text_hash long, window long, place int, slots array<long>, kind long").distinct()
     sizes = found.groupBy("item_id", "text_hash").agg(F.countDistinct("place").alias("item_windows"))
     # Null ids meet too.
     ids = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("item_id", "text_hash")]
@@ -233,13 +235,14 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WINDOWS) -> Data
     table = docs.sparkSession.sparkContext.broadcast(_filter(known))
     kinds = tuple(sorted(r.item_kind for r in known.where("item_kind > 0").select("item_kind").distinct().collect()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = rows.mapInArrow(_emit("doc_id", table, kinds), "doc_id long, text_hash long, window long, place int, slots array<long>, kind long")
+    found = rows.mapInArrow(lean(_emit("doc_id", table, kinds)), "doc_id long, text_hash long, window long, place int, slots array<long>, kind long")
     few = known.count() <= BROADCAST_WINDOWS
     met = found.join(F.broadcast(known) if few else known, "window").withColumn("shift", F.col("place") - F.col("item_place"))
     # Windows of words and of tokens have places of their own.
-    met = materialize(met.where("kind = item_kind").drop("window", "kind"), "met")
+    found = materialize(met.where("kind = item_kind").drop("window", "kind"), "met")
     group = ["doc_id", "text_hash", "item_id", "item_hash", "item_kind", "shift"]
-    met = materialize(_consistent(met, group), "consistent")
+    met = materialize(_consistent(found, group), "consistent")
+    drop_table(found)
     pairs = (
         met.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
         .select(*group, F.col("s.item_slots").alias("x"), F.col("s.slots").alias("y"))
@@ -268,6 +271,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, most: int = 1_000_000) -> DataFrame:
     """docs without the rows that leak an item; all columns stay. The leaking rows' keys are broadcast if they are at most ``most``."""
-    found = materialize(leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    keys = F.broadcast(found) if found.count() <= most else found
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    found = materialize(leaks(docs, items).select("doc_id", "text_hash").distinct(), "leaks")
+    return without_keys(docs, F.broadcast(found) if found.count() <= most else found)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.kernel import materialize
+from pathloom.llm.kernel import fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Different seed values that a pattern needs, rounds of scoring, and the score from which an instance is found.
@@ -130,11 +130,12 @@ def redact(docs: DataFrame) -> DataFrame:
     scanned = materialize(scan(docs), "scanned")
     added = found_words(scanned, materialize(discover(docs, scanned), "accepted"))
     # Texts without spans, nearly all, are not joined with more than a key.
-    spans = _attach(scanned.select("doc_id", "text_hash", "base"), added).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.expr(_ALL).alias("_spans")).where("size(_spans) > 0").distinct()
+    a, b, c = fresh(docs, 3)
+    spans = _attach(scanned.select("doc_id", "text_hash", "base"), added).select(F.col("doc_id").alias(a), F.col("text_hash").alias(b), F.expr(_ALL).alias(c)).where(f"size({c}) > 0").distinct()
     spans = materialize(spans, "spans")
-    joined = docs.join(_small(spans), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
+    joined = docs.join(_small(spans), docs["doc_id"].eqNullSafe(F.col(a)) & (F.xxhash64(docs["text"]) == F.col(b)), "left")
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    text = F.expr(f"""CASE WHEN _spans IS NULL THEN text ELSE aggregate(_spans, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+    text = F.expr(f"""CASE WHEN {c} IS NULL THEN text ELSE aggregate({c}, named_struct('at', 0, 'out', cast(array() AS array<string>)),
       (a, s) -> IF(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
         named_struct('at', s.end, 'out', concat(a.out, array(substring(text, a.at + 1, s.start - a.at), element_at(array({kinds}), s.k + 1))))),
       a -> concat(array_join(a.out, ''), substring(text, a.at + 1))) END""")
