@@ -6,7 +6,7 @@ apostrophe that begins a contraction).  A class is then a transition function ov
 states.  Functions compose associatively, so a text is cut into equal rows, every row is
 scanned for all eight start states at once, the rows' functions are composed, and each
 row's true start state selects its boundaries.  Slices between boundaries go through a
-cache of merged pieces.
+cache of merged pieces, which is bounded in bytes and emptied when a task ends.
 
 Defined results: null text is the empty text (no ids); an empty table gives an empty
 table; other columns of the input pass through; a column that clashes with an output
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.llm.kernel import blocks, lean
+
 LETTER, NUMBER, OTHER, SPACE_MID, BLANK_LAST, SPACE_LAST, SHORT, LONG, RESET = range(9)
 #: States: in letters, in numbers, in others, in white space, after a joining blank, one or two code points of a contraction to come, fresh.
 S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_BLANK, S_ONE, S_TWO, S_FRESH = range(8)
 ROW = 2048
 BLOCK_CHARS = 1 << 19
-CACHE_PIECES = 400_000
+#: Bytes that each of the cache's two generations holds at most, and what an entry takes besides its text and ids.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 190
 
 
 def _transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -191,33 +196,41 @@ class PairTable:
 class Merger:
     """Pair merging by rank, for many pieces at once, with a two-generation cache of merged pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = CACHE_PIECES):
+    def __init__(self, ranks: dict[bytes, int], most: int = CACHE_BYTES):
         self.ranks, self.most = ranks, most
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = PairTable(ranks)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_long(self, piece: bytes) -> bytes:
         """Ids of one long piece by a heap and a linked list: n log n."""
         n, rank = len(piece), self.ranks.get
-        end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        end, left, right = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        alive = bytearray(b"\1") * n
+        # Rank, first byte and end of a pair in one number.
+        heap = [(r << 80) + (i << 40) + i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
+        low = (1 << 40) - 1
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            pair = heapq.heappop(heap)
+            i, stop = pair >> 40 & low, pair & low
             j = right[i]
             if not alive[i] or j >= n or end[j] != stop:
                 continue
-            end[i], alive[j], right[i] = stop, False, right[j]
+            end[i], alive[j], right[i] = stop, 0, right[j]
             if (k := right[i]) < n:
                 left[k] = i
                 if (r := rank(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
+                    heapq.heappush(heap, (r << 80) + (i << 40) + end[k])
             if (k := left[i]) >= 0 and (r := rank(piece[k:stop])) is not None:
-                heapq.heappush(heap, (r, k, stop))
+                heapq.heappush(heap, (r << 80) + (k << 40) + stop)
         return b"".join(self.packed[piece[i : end[i]]] for i in range(n) if alive[i])
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
@@ -265,9 +278,13 @@ class Merger:
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The cache, with all these pieces in it; what the last block did not use may go."""
         missing = [p for p in set(pieces) if p not in self.young]
-        if len(self.young) + len(missing) > self.most:
+        # A character of a piece counts twice: for itself and for its part of the ids.
+        size = sum(map(len, missing)) * 2 + ENTRY_BYTES * len(missing)
+        if self.held + size > self.most:
             self.old, self.young = self.young, {}
             missing = list(set(pieces))
+            self.held, size = 0, sum(map(len, missing)) * 2 + ENTRY_BYTES * len(missing)
+        self.held += size
         new, batch = [], []
         for p in missing:
             known = self.old.get(p)
@@ -320,6 +337,12 @@ def merger_for(path: str) -> Merger:
     return _mergers[path]
 
 
+def forget() -> None:
+    """Empty this process's caches."""
+    for merger in _mergers.values():
+        merger.forget()
+
+
 def tokens_for(path: str) -> list[bytes]:
     if path not in _tokens:
         ranks = load_ranks(path)
@@ -349,18 +372,21 @@ def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = merger_for(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-                ids, starts = [], []
-                for packed, own in encode_texts(texts, merger):
-                    ids.append(packed)
-                    starts.append(own.astype("<u4").tobytes())
-                columns = [*_keep(batch, kept), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(starts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return df.mapInArrow(run, schema)
+        try:
+            for whole in batches:
+                at = whole.schema.get_field_index(column)
+                for a, b, _, _ in blocks(whole.column(at)):
+                    batch = whole.slice(a, b - a)
+                    ids, starts = [], []
+                    for packed, own in encode_texts([t or "" for t in batch.column(at).to_pylist()], merger):
+                        ids.append(packed)
+                        starts.append(own.astype("<u4").tobytes())
+                    columns = [*_keep(batch, kept), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(starts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            merger.forget()
+
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
@@ -372,12 +398,13 @@ def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
         table = tokens_for(vocabulary)
         pick = table.__getitem__
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out = [b"".join(map(pick, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+            at = whole.schema.get_field_index(column)
+            for a, b, _, _ in blocks(whole.column(at)):
+                batch = whole.slice(a, b - a)
+                out = [b"".join(map(pick, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*_keep(batch, kept), pa.array(out, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:
