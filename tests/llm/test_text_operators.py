@@ -220,12 +220,43 @@ def test_toxicity_columns_and_repeats(spark):
     assert {r.predicted for r in got if r.doc_id in (None, 7000)} == {1}
 
 
+def plain_windows(turns, budget, history):
+    """Formatted windows, chosen by prefix sums over the whole conversation."""
+    whole = [chat.formatted(*t) for t in turns]
+    sums = [0]
+    for w in whole:
+        sums.append(sums[-1] + len(w))
+    system = int(bool(turns) and turns[0][0] == "system")
+    out, at = [], 0
+    while at < len(turns):
+        lead = sums[system] if at else 0
+        backs = [k for k in range(system, at) if sums[at] - sums[k] <= history and lead + sums[at + 1] - sums[k] <= budget]
+        back = min(backs, default=at) if at else 0
+        end = max([at + 1, *(e for e in range(at + 1, len(turns) + 1) if lead + sums[e] - sums[back] <= budget)])
+        out.append("".join(whole[: system if at else 0] + whole[back:end]))
+        at = end
+    return out
+
+
+def test_chat_long_conversation(spark):
+    """One conversation of most rows, over many batches, keeps its order."""
+    rows = [(7, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * (k % 50)) for k in range(30_000)] + [(k, 0, "assistant", "y") for k in range(100, 160)]
+    pick = random.Random(3)
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, 500, 100)).collect()}
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in sorted(x for x in rows if x[0] == 7)).encode()).hexdigest()
+    assert (got[7].n_turns, got[7].turns_sha256, len(got)) == (30_000, want, 61)
+    assert got[7].loss_chars == sum(len(t) for c, _, r, t in rows if c == 7 and r == "assistant")
+
+
 def test_chat_windows():
     pick = random.Random(1)
     bits = ["<|im_end|>", "<|im_start|>", "<|", "<\\|", "<\\\\|x", "a", "\n", "<", "|", "\\"]
     for _ in range(300):
         turns = [(pick.choice(["system", "user", "assistant", "a\nb\\", "<|"]), "".join(pick.choice(bits) for _ in range(pick.randint(0, 40)))) for _ in range(pick.randint(1, 12))]
-        made = chat.windows(turns, budget=300, history=80)
+        made = list(chat.windows(turns, budget=300, history=80))
+        assert [w["formatted"] for w in made] == plain_windows(turns, 300, 80)
         read, loss = [], []
         for window in made:
             new, targets = chat.read_window(window)
@@ -251,8 +282,8 @@ def test_chat_budget_in_tokens(spark):
     turns = [("user" if k % 2 else "assistant", ("some common words here " if k < 12 else "\u2603\u16a0\u0b83 ") * 9) for k in range(24)]
     df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
     count = lambda text: len(next(bpe.encode_texts([text], known))[0]) // 4
-    made = chat.format_conversations(df, 300, 80, chat.token_sizes(RANKS)).first().windows
-    want = chat.windows(turns, 300, 80, count)
+    made = sorted(chat.format_conversations(df, 300, 80, chat.token_sizes(RANKS)).collect(), key=lambda w: w.window)
+    want = list(chat.windows(turns, 300, 80, count))
     assert [w.formatted for w in made] == [w["formatted"] for w in want]
     assert [w.formatted for w in made] != [w["formatted"] for w in chat.windows(turns, 300, 80)]
     assert any(len(w.formatted) > 300 for w in made)
