@@ -34,6 +34,28 @@ BATCH = (
 PATTERNS = ("/a/**", "/**/x", "/a*/b/**", "/*", "/a/b", "", "ab/c", "/a/", "//a", "/a/***", "/a**", "/**b", r"/a\*b/c", "/a/**/**", "/a/*b*/c", "a/b", "/", "/**")
 
 
+#: Predicates of the patterns in DuckDB's SQL, written by hand over labels; ``s`` is the path's labels, the first one empty.
+_L = "string_split(path, '/')"
+BY_HAND = {
+    "/ASIA/**": "(path = '/ASIA' OR (starts_with(path, '/ASIA/') AND NOT ends_with(path, '/')))",
+    "/*/NATION_1*/AUTOMOBILE/**": f"(len({_L}) >= 4 AND {_L}[1] = '' AND starts_with({_L}[3], 'NATION_1') AND {_L}[4] = 'AUTOMOBILE' AND NOT ends_with(path, '/'))",
+    "/**/1-URGENT": "ends_with(path, '/1-URGENT') AND starts_with(path, '/')",
+    "/EUROPE/*/BUILDING/*/5-LOW": f"(len({_L}) = 6 AND {_L}[1] = '' AND {_L}[2] = 'EUROPE' AND {_L}[4] = 'BUILDING' AND {_L}[6] = '5-LOW')",
+    "/AFRICA/NATION_0/nothing": "path = '/AFRICA/NATION_0/nothing'",
+    "/AMERICA/**": "(path = '/AMERICA' OR (starts_with(path, '/AMERICA/') AND NOT ends_with(path, '/')))",
+    "/**": "(path = '' OR (starts_with(path, '/') AND NOT ends_with(path, '/')))",
+    "/events/error/user3/13": "path = '/events/error/user3/13'",
+    "/Brand#*/ECONOMY*/**": f"({_L}[1] = '' AND starts_with({_L}[2], 'Brand#') AND starts_with({_L}[3], 'ECONOMY') AND NOT ends_with(path, '/') AND (len({_L}) > 3 OR length({_L}[3]) > 7))",
+    "/events/error/**": "(path = '/events/error' OR (path LIKE '/events/error/%' AND path NOT LIKE '%/'))",
+    "/**/fr/**": f"(list_contains({_L}[2:], 'fr') AND starts_with(path, '/') AND NOT ends_with(path, '/'))",
+}
+
+
+def by_hand(q: Query) -> str:
+    """DuckDB predicate of a query, from BY_HAND."""
+    return f"({BY_HAND[q.pattern]} AND value BETWEEN {q.low} AND {q.high})" if q.low <= q.high else "false"
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name; ``sql`` may use {orders}, {events}, {parts}, {pages} for the key views."""
 
@@ -58,12 +80,12 @@ def _values(rows: list[tuple], names: str) -> str:
 # Predicates.
 
 
-@query(f"SELECT path, value, ref FROM {{orders}} WHERE {FLAGSHIP.duckdb()}")
+@query(f"SELECT path, value, ref FROM {{orders}} WHERE {by_hand(FLAGSHIP)}")
 def cas_query(spark, sf):
     return search.search(keys.orders(spark, sf), FLAGSHIP.pattern, FLAGSHIP.low, FLAGSHIP.high)
 
 
-@query(f"SELECT path, value, ref FROM {{orders}} WHERE {FLAGSHIP.duckdb()}")
+@query(f"SELECT path, value, ref FROM {{orders}} WHERE {by_hand(FLAGSHIP)}")
 def path_prefix_pruned(spark, sf):
     """The same rows from a clustered store, where the prefix reaches the scan."""
     store = Store(spark, new_folder(spark, "store"))
@@ -76,7 +98,7 @@ def _path_query(name: str, view: str, pattern: str) -> None:
         return search.search(keys.VIEWS[view](spark, sf), pattern)
 
     run.__name__ = name
-    query(f"SELECT path, value, ref FROM {{{view}}} WHERE {Pattern(pattern).duckdb()}")(run)
+    query(f"SELECT path, value, ref FROM {{{view}}} WHERE {BY_HAND[pattern]}")(run)
 
 
 _path_query("path_exact", "events", "/events/error/user3/13")
@@ -96,11 +118,12 @@ def path_truth_table(spark, sf):
 
 
 _CLASSIFIED = "/events/*/user3/**"
+_S = "string_split(part, '/')"
 
 
 @query(
-    f"""SELECT part, count(*) AS n, CASE WHEN {Pattern(_CLASSIFIED).duckdb('part')} THEN 'MATCH'
-    WHEN regexp_matches(part, {quote(glob.partial_regex(Pattern(_CLASSIFIED)))}) THEN 'INCOMPLETE' ELSE 'MISMATCH' END AS kind
+    f"""SELECT part, count(*) AS n, CASE WHEN len({_S}) >= 4 AND starts_with(part, '/events/') AND {_S}[4] = 'user3' AND NOT ends_with(part, '/') THEN 'MATCH'
+    WHEN starts_with('/events/', part) OR (starts_with(part, '/events/') AND (len({_S}) = 3 OR (len({_S}) = 4 AND starts_with('user3', {_S}[4])) OR {_S}[4] = 'user3')) THEN 'INCOMPLETE' ELSE 'MISMATCH' END AS kind
     FROM (SELECT unnest(['', '/events', '/events/', substr(path, 1, 12), substr(path, 1, 18), path]) AS part FROM {{events}}) GROUP BY part"""
 )
 def path_prefix_classify(spark, sf):
@@ -124,7 +147,14 @@ def values_only(spark, sf):
     return search.search(keys.pages(spark, sf), "/**", 500, 2500)
 
 
-@query(f"SELECT pattern, {' '.join(['CASE pattern'] + [f'WHEN {quote(p)} THEN {str(glob.is_valid(p)).lower()}' for p in PATTERNS] + ['END'])} AS ok FROM {_values([(p,) for p in PATTERNS], 'pattern')}")
+# A pattern without its escapes: every label is there, and two stars only alone.
+_BARE = "regexp_replace(pattern, '\\\\[^/]', 'x', 'g')"
+
+
+@query(
+    f"""SELECT pattern, starts_with(bare, '/') AND NOT list_contains(l, '') AND NOT contains(bare, chr(92)) AND len(list_filter(l, lambda x: x <> '**' AND contains(x, '**'))) = 0 AS ok
+    FROM (SELECT *, string_split(substr(bare, 2), '/') AS l FROM (SELECT pattern, {_BARE} AS bare FROM {_values([(p,) for p in PATTERNS], 'pattern')}))"""
+)
 def pattern_validate(spark, sf):
     return spark.createDataFrame([(p,) for p in PATTERNS], "pattern string").select("pattern", glob.valid("pattern").alias("ok"))
 
@@ -183,7 +213,7 @@ def scan_fraction(spark, sf):
 # Projections.
 
 
-@query(f"SELECT ref FROM {{orders}} WHERE {FLAGSHIP.duckdb()}")
+@query(f"SELECT ref FROM {{orders}} WHERE {by_hand(FLAGSHIP)}")
 def project_ref(spark, sf):
     return cas_query(spark, sf).select("ref")
 
@@ -206,12 +236,12 @@ def suffix_projection(spark, sf):
 # Counts and batches.
 
 
-@query(f"SELECT count(*) AS matches FROM {{orders}} WHERE {FLAGSHIP.duckdb()}")
+@query(f"SELECT count(*) AS matches FROM {{orders}} WHERE {by_hand(FLAGSHIP)}")
 def count_matches(spark, sf):
     return cas_query(spark, sf).agg(F.count("*").alias("matches"))
 
 
-_COUNTS = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, {quote(q.pattern)} AS pattern, CAST({q.low} AS BIGINT) AS low, CAST({q.high} AS BIGINT) AS high, (SELECT count(*) FROM {{orders}} WHERE {q.duckdb()}) AS matches" for i, q in enumerate(BATCH))
+_COUNTS = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, {quote(q.pattern)} AS pattern, CAST({q.low} AS BIGINT) AS low, CAST({q.high} AS BIGINT) AS high, (SELECT count(*) FROM {{orders}} WHERE {by_hand(q)}) AS matches" for i, q in enumerate(BATCH))
 
 
 @query(_COUNTS)
@@ -219,7 +249,7 @@ def query_batch(spark, sf):
     return search.batch_counts(keys.orders(spark, sf), list(BATCH)).withColumn("qid", F.col("qid").cast("long"))
 
 
-_ROWS = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, path, value, ref FROM {{orders}} WHERE {q.duckdb()}" for i, q in enumerate(BATCH))
+_ROWS = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS qid, path, value, ref FROM {{orders}} WHERE {by_hand(q)}" for i, q in enumerate(BATCH))
 
 
 @query(_ROWS)
@@ -236,7 +266,7 @@ def query_batch_join(spark, sf):
 @query(
     "SELECT * FROM ("
     + " UNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS qid, round(count(*) FILTER ({q.duckdb()}) / count(*), 9) AS \"full\", round(count(*) FILTER ({Query('/**', q.low, q.high).duckdb()}) / count(*), 9) AS values_only, round(count(*) FILTER ({Query(q.pattern).duckdb()}) / count(*), 9) AS paths_only FROM {{orders}}"
+        f"SELECT CAST({i} AS BIGINT) AS qid, round(count(*) FILTER ({by_hand(q)}) / count(*), 9) AS \"full\", round(count(*) FILTER ({by_hand(Query('/**', q.low, q.high))}) / count(*), 9) AS values_only, round(count(*) FILTER ({by_hand(Query(q.pattern))}) / count(*), 9) AS paths_only FROM {{orders}}"
         for i, q in enumerate(BATCH)
     )
     + ")"
@@ -250,58 +280,110 @@ def stats_sum_avg(spark, sf):
     return statistics.sum_and_average(query_batch(spark, sf), "matches")
 
 
+_DEPTH_OF = "len(list_filter(string_split(substr(path, 2), '/'), lambda x: x <> ''))"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS qid, count(*) AS matches, CAST(coalesce(sum({_DEPTH_OF}), 0) AS BIGINT) AS sum_depth, CAST(coalesce(sum({_DEPTH_OF}) // count(*), 0) AS BIGINT) AS avg_depth FROM {{orders}} WHERE {by_hand(q)}"
+        for i, q in enumerate(BATCH)
+    )
+)
+def match_stats(spark, sf):
+    return search.match_stats(keys.orders(spark, sf), list(BATCH)).selectExpr("cast(qid as bigint) AS qid", "matches", "cast(sum_depth as bigint) AS sum_depth", "avg_depth")
+
+
 # Levels and inserts.
 
 
-@query(f"SELECT path, value, ref FROM {{orders}} WHERE {FLAGSHIP.duckdb()}")
-def query_multi_level(spark, sf):
-    """Three levels, dealt by reference, queried as one."""
-    rows = keys.orders(spark, sf)
-    part = F.pmod(F.xxhash64("ref"), F.lit(3))
-    return search.search_levels([rows.where(part == i) for i in range(3)], FLAGSHIP.pattern, FLAGSHIP.low, FLAGSHIP.high)
+# A batch is known by the first digit of the reference.
+_DEALT = "ascii(substr(ref, 1, 1)) % {}"
 
 
-def _batches(spark, sf, n: int) -> list[DataFrame]:
-    rows = materialize(keys.events(spark, sf).withColumn("part", F.pmod(F.xxhash64("ref"), F.lit(n))), "batches")
+def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
+    rows = materialize(rows.withColumn("part", F.expr(_DEALT.format(n))), "batches")
     return [rows.where(F.col("part") == i).drop("part") for i in range(n)]
 
 
-@query("SELECT path, value, ref FROM {events}")
+@query(f"SELECT path, value, ref FROM {{orders}} WHERE {by_hand(FLAGSHIP)}")
+def query_multi_level(spark, sf):
+    """Two levels and a buffer that isn't full, queried as one."""
+    store = Store(spark, new_folder(spark, "store"), 1)
+    *merged, last = _batches(keys.orders(spark, sf), 4)
+    for batch in merged:
+        store.insert(batch)
+    store.max_buffer_keys = 1 << 40
+    store.insert(last)
+    return store.query(FLAGSHIP.pattern, FLAGSHIP.low, FLAGSHIP.high)
+
+
+@query(f"SELECT path, value, ref FROM {{orders}} WHERE {by_hand(Query('/**/1-URGENT'))}")
+def path_suffix_pruned(spark, sf):
+    """A pattern that begins with a wildcard, answered from the copy that is clustered by reversed path."""
+    store = Store(spark, new_folder(spark, "store"), reverse=True)
+    store.bulk_load(keys.orders(spark, sf))
+    return store.query("/**/1-URGENT")
+
+
+def _with_facts(store: Store) -> DataFrame:
+    """All keys of a store, each with the store's levels and buffer as text."""
+    told = ",".join(f"{r.place}={r.n_keys}" for r in sorted(store.facts().collect()))
+    return store.read().withColumn("store", F.lit(told))
+
+
+def _facts_sql(**places: str) -> str:
+    """The keys of events, each with the number of keys in each place (by SQL condition)."""
+    told = " || ',' || ".join(f"'{name.strip('_')}=' || (SELECT count(*) FROM {{events}} WHERE {condition})" for name, condition in sorted(places.items()))
+    return f"SELECT path, value, ref, {told} AS store FROM {{events}}"
+
+
+@query(_facts_sql(buffer="true"))
 def insert_batches(spark, sf):
     """Four batches in a store whose buffer never fills."""
     store = Store(spark, new_folder(spark, "store"), 1 << 40)
-    for batch in _batches(spark, sf, 4):
+    for batch in _batches(keys.events(spark, sf), 4):
         store.insert(batch)
-    return store.read()
+    return _with_facts(store)
 
 
-@query("SELECT path, value, ref FROM {events}")
+@query(_facts_sql(_0=f"{_DEALT.format(5)} = 4", _2=f"{_DEALT.format(5)} < 4", buffer="false"))
 def merge_levels(spark, sf):
     """Five batches, each of which fills the buffer: levels 0 and 2 are left."""
     store = Store(spark, new_folder(spark, "store"), 1)
-    for batch in _batches(spark, sf, 5):
+    for batch in _batches(keys.events(spark, sf), 5):
         store.insert(batch)
     store.flush()
-    return store.read()
+    return _with_facts(store)
 
 
-@query("SELECT path, value, ref FROM {events}")
+@query(_facts_sql(_1=f"{_DEALT.format(2)} = 0", buffer=f"{_DEALT.format(2)} = 1").replace("'1='", f"(SELECT ceil(log2(count(*) / {float(1 << 40)}))::BIGINT FROM {{events}} WHERE {_DEALT.format(2)} = 0) || '='"))
 def bulk_then_insert(spark, sf):
+    """A bulk load, whose level follows from its size, and a batch in the buffer."""
     store = Store(spark, new_folder(spark, "store"), 1 << 40)
-    first, second = _batches(spark, sf, 2)
+    first, second = _batches(keys.events(spark, sf), 2)
     store.bulk_load(first)
     store.insert(second)
-    return store.read()
+    return _with_facts(store)
 
 
-@query("SELECT path, value, ref FROM {events}")
+@query(_facts_sql(buffer="true"))
 def insert_stream_(spark, sf):
     """The events as a stream of files, appended batch by batch."""
     folder = new_folder(spark, "files")
     keys.events(spark, sf).repartition(3, "ref").write.parquet(folder)
     store = Store(spark, new_folder(spark, "store"), 1 << 40)
     insert_stream(file_source(spark, folder, keys.SCHEMA), store, new_folder(spark, "stream")).awaitTermination()
-    return store.read()
+    return _with_facts(store)
+
+
+@query(_COUNTS)
+def query_file(spark, sf):
+    """The batch from a query file, over a store."""
+    folder = new_folder(spark, "queries")
+    spark.createDataFrame([(f"{q.pattern};{q.low};{q.high}",) for q in BATCH], "line string").coalesce(1).write.text(folder)
+    store = Store(spark, new_folder(spark, "store"))
+    store.bulk_load(keys.orders(spark, sf))
+    return store.query_file(folder).withColumn("qid", F.col("qid").cast("long"))
 
 
 _SIZES = [(n, m) for n in (100, 1000, 99_887_918, 6_891_972_832) for m in (1000, 1_000_000, 100_000_000)]
@@ -367,27 +449,54 @@ def psi_fanout(spark, sf):
     return structure.psi_fanout(keys.events(spark, sf))
 
 
-@query()
+def _lcp(a: str, b: str) -> str:
+    """SQL: common leading bytes of two hex texts."""
+    n = f"least(length({a}), length({b})) // 2"
+    return f"coalesce(list_position(list_transform(range(1, {n} + 1), lambda i: substr({a}, 2 * i - 1, 2) = substr({b}, 2 * i - 1, 2)), false) - 1, {n})"
+
+
+# Every key with its node, a level in each round; a window over the node's keys says how it is split.
+_TRIE = f"""(WITH RECURSIVE t AS (
+  SELECT 0 AS depth, '' AS node, hex(encode(path)) || '00' AS p, {_CODE.format('value')} AS v, 'VALUE' AS dim FROM {{parts}}
+  UNION ALL
+  SELECT depth + 1, node || substr(CASE WHEN used = 'PATH' THEN p ELSE v END, 2 * CASE WHEN used = 'PATH' THEN lp ELSE lv END + 1, 2),
+    substr(p, 2 * (lp + CASE WHEN used = 'PATH' THEN 1 ELSE 0 END) + 1), substr(v, 2 * (lv + CASE WHEN used = 'VALUE' THEN 1 ELSE 0 END) + 1), CASE WHEN used = 'PATH' THEN 'VALUE' ELSE 'PATH' END
+  FROM (SELECT *, {_lcp('pa', 'pz')} AS lp, {_lcp('va', 'vz')} AS lv, CASE WHEN (pa = pz AND va = vz) OR (depth > 0 AND c <= {structure.LEAF_KEYS}) THEN 'LEAF' WHEN dim = 'PATH' AND pa = pz THEN 'VALUE' WHEN dim = 'VALUE' AND va = vz THEN 'PATH' ELSE dim END AS used
+    FROM (SELECT *, min(p) OVER w AS pa, max(p) OVER w AS pz, min(v) OVER w AS va, max(v) OVER w AS vz, count(*) OVER w AS c FROM t WINDOW w AS (PARTITION BY node)))
+  WHERE used <> 'LEAF'),
+g AS (SELECT node, depth, dim, count(*) AS n_keys, min(p) AS pa, max(p) AS pz, min(v) AS va, max(v) AS vz, sum((length(p) + length(v)) // 2) AS bytes FROM t GROUP BY ALL),
+n AS (SELECT node, depth, n_keys, bytes, {_lcp('pa', 'pz')} AS len_p, {_lcp('va', 'vz')} AS len_v, CASE WHEN (pa = pz AND va = vz) OR (depth > 0 AND n_keys <= {structure.LEAF_KEYS}) THEN 'LEAF' WHEN dim = 'PATH' AND pa = pz THEN 'VALUE' WHEN dim = 'VALUE' AND va = vz THEN 'PATH' ELSE dim END AS dim FROM g),
+f AS (SELECT substr(node, 1, length(node) - 2) AS parent, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1)
+SELECT node, CAST(depth AS BIGINT) AS depth, dim, n_keys, CAST(len_p AS BIGINT) AS len_p, CAST(len_v AS BIGINT) AS len_v, CAST(coalesce(children, 0) AS BIGINT) AS fanout,
+  CAST(4 + len_p + len_v + CASE WHEN dim = 'LEAF' THEN bytes - n_keys * (len_p + len_v) + 22 * n_keys ELSE 7 * coalesce(children, 0) END AS BIGINT) AS byte_size
+FROM n LEFT JOIN f ON node = parent AND dim <> 'LEAF')"""
+
+
+def _cumulative(hist: str) -> str:
+    return f"SELECT v, n, round(n / sum(n) OVER () * 100, 9) AS percent, CAST(sum(n) OVER (ORDER BY v) AS BIGINT) AS cumulative, round(sum(n) OVER (ORDER BY v) / sum(n) OVER () * 100, 9) AS cumulative_percent FROM ({hist})"
+
+
+@query(f"SELECT * FROM {_TRIE}")
 def trie_nodes(spark, sf):
-    return structure.trie_nodes(keys.parts(spark, sf))
+    return structure.trie_nodes(keys.parts(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("depth", "len_p", "len_v", "fanout")})
 
 
-@query()
+@query(f"SELECT dim, count(*) AS n FROM {_TRIE} GROUP BY dim")
 def trie_node_counts(spark, sf):
     return trie_nodes(spark, sf).groupBy("dim").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_cumulative(f"SELECT depth AS v, count(*) AS n FROM {_TRIE} GROUP BY 1"))
 def trie_depth_hist(spark, sf):
     return statistics.hist_cumulative(statistics.histogram(trie_nodes(spark, sf), "depth"))
 
 
-@query()
+@query(_cumulative(f"SELECT fanout AS v, count(*) AS n FROM {_TRIE} WHERE dim <> 'LEAF' GROUP BY 1"))
 def trie_fanout_hist(spark, sf):
     return statistics.hist_cumulative(statistics.histogram(trie_nodes(spark, sf).where("dim <> 'LEAF'"), "fanout"))
 
 
-@query()
+@query(f"SELECT dim = 'LEAF' AS leaf, byte_size AS v, count(*) AS n FROM {_TRIE} GROUP BY ALL")
 def trie_width_hist(spark, sf):
     """Byte sizes of inner nodes and of leaves."""
     sizes = trie_nodes(spark, sf).select((F.col("dim") == "LEAF").alias("leaf"), F.col("byte_size").alias("v"))
@@ -539,7 +648,13 @@ def unix_to_iso(spark, sf):
 _TEXTS = ["2013-04-14T12:05:32Z", "1969-12-31T23:59:59Z", "2013-13-01T00:00:00Z", "2013-04-14 12:05:32", "", "2099-12-31T23:59:59Z", "1365941132", "4102444800", "4102444799", "-1", "12x", "99999999999999999999"]
 
 
-@query(f"SELECT text, regexp_matches(text, {quote(paths.ISO)}) AS ok FROM (SELECT text FROM {_values([(t,) for t in _TEXTS], 'text')} UNION ALL SELECT {_ISO} FROM {{events}})")
+_FIELD = "coalesce(try_cast(substr(text, {}, {}) AS INTEGER) BETWEEN {} AND {}, false)"
+_IS_ISO = "translate(text, '0123456789', '') = '--T::Z' AND length(text) = 20 AND substr(text, 5, 1) = '-' AND substr(text, 8, 1) = '-' AND substr(text, 11, 1) = 'T' AND substr(text, 14, 1) = ':' AND substr(text, 17, 1) = ':' AND ends_with(text, 'Z') AND " + " AND ".join(
+    _FIELD.format(*x) for x in ((1, 4, 1970, 2099), (6, 2, 1, 12), (9, 2, 0, 31), (12, 2, 0, 23), (15, 2, 0, 59), (18, 2, 0, 59))
+)
+
+
+@query(f"SELECT text, {_IS_ISO} AS ok FROM (SELECT text FROM {_values([(t,) for t in _TEXTS], 'text')} UNION ALL SELECT {_ISO} FROM {{events}})")
 def iso_validate(spark, sf):
     texts = spark.createDataFrame([(t,) for t in _TEXTS], "text string").union(_event_times(spark, sf).select("iso"))
     return texts.select("text", paths.is_iso("text").alias("ok"))
@@ -569,3 +684,44 @@ def replace_string(spark, sf):
 @query("SELECT ref FROM {parts}")
 def ref_roundtrip(spark, sf):
     return keys.parts(spark, sf).select(paths.ref_text(paths.ref_bytes(F.upper("ref"))).alias("ref"))
+
+
+_KEY_PATH = "array_to_string(list_transform(string_split(path, '/'), lambda x: hex(encode(x))), 'FF') || '00'"
+
+
+@query(f"SELECT ref AS id, {_KEY_PATH} AS path, {_CODE.format('value')} AS value, upper(ref) AS ref FROM {{orders}}")
+def encode_key(spark, sf):
+    """Keys as bytes, shown in hex."""
+    made = keys.orders(spark, sf).select(F.col("ref").alias("id"), paths.encode_key().alias("k"))
+    return made.select("id", *(F.hex(f"k.{c}").alias(c) for c in ("path", "value", "ref")))
+
+
+@query("SELECT ref, path AS forward, concat(array_to_string(list_reverse(string_split(substr(path, 2), '/')), '/'), '/') AS stored, path AS backward FROM {events}")
+def decode_key_path(spark, sf):
+    """Paths read back from keys' bytes, stored forward and reversed."""
+    back = paths.key_path(paths.reverse_path("path"))
+    return keys.events(spark, sf).select("ref", paths.decode_key_path(paths.key_path("path")).alias("forward"), paths.decode_path(back).alias("stored"), paths.decode_key_path(back, True).alias("backward"))
+
+
+_SEARCHED = [("/a/**", "FF61FFFDFD", "FDFDFF61FF"), ("/b*/x", "FF62FDFF78", "78FF62FDFF"), ("/c\\*", "FF632A", "632AFF"), ("/*", "FFFD", "FDFF")]
+
+
+@query(f"SELECT pattern, forward, reversed, '8000000000000001' AS low, '7FFFFFFFFFFFFFFE' AS high FROM {_values(_SEARCHED, 'pattern, forward, reversed')}")
+def encode_search_key(spark, sf):
+    """Queries as bytes, forward and with the labels turned around; the wanted bytes are written by hand."""
+    rows = spark.createDataFrame([(p, 1, -2) for p, _, _ in _SEARCHED], "pattern string, lo long, hi long")
+    made = rows.select("pattern", *(paths.encode_search_key("pattern", "lo", "hi", r).alias(n) for n, r in (("f", False), ("r", True))))
+    return made.select("pattern", F.hex("f.path").alias("forward"), F.hex("r.path").alias("reversed"), F.hex("f.low").alias("low"), F.hex("f.high").alias("high"))
+
+
+@query(
+    """SELECT n, CASE WHEN n >= 1000000000000 THEN (n // 1000000000000) || ' TB' WHEN n >= 1000000000 THEN (n // 1000000000) || ' GB' WHEN n >= 1000000 THEN (n // 1000000) || ' MB' ELSE n || ' B' END AS shown
+    FROM (SELECT CAST(pow(7, i) AS BIGINT) AS n FROM range(0, 20) r(i))"""
+)
+def byte_units(spark, sf):
+    return spark.range(20).select(F.expr("cast(pow(7, id) as bigint)").alias("n")).select("n", paths.byte_text("n").alias("shown"))
+
+
+@query("SELECT dim, CASE dim WHEN 'PATH' THEN 'VALUE' WHEN 'VALUE' THEN 'PATH' END AS other FROM (VALUES ('PATH'), ('VALUE'), ('LEAF')) t(dim)")
+def alternate_dimension(spark, sf):
+    return spark.createDataFrame([("PATH",), ("VALUE",), ("LEAF",)], "dim string").select("dim", paths.alternate("dim").alias("other"))

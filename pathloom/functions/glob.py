@@ -193,3 +193,9 @@ def index_direction(pattern: str | Column = "pattern") -> Column:
     endless = F.lit(1 << 30)
     places = [F.when(F.instr(p, "*") > 0, F.instr(p, "*")).otherwise(endless) for p in (pattern, reverse_path(pattern))]
     return F.when(places[1] > places[0], "1").otherwise("0")
+
+
+def choose_direction(pattern: str) -> str:
+    """The copy that prunes more: "0" (reversed paths) if the literal end is longer than the literal beginning, else "1"."""
+    own = Pattern(pattern)
+    return "0" if len(own.suffix) > len(own.prefix) else "1"

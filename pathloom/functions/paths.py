@@ -61,6 +61,78 @@ def encode_path(path: str | Column) -> Column:
     return F.concat(F.encode(_col(path), "UTF-8"), F.lit(bytearray(b"\0")))
 
 
+#: The bytes that stand for a separator and a star in encoded keys; no UTF-8 text has them.
+SEPARATOR_BYTE, STAR_BYTE = "FF", "FD"
+
+
+def _hex(text: Column) -> Column:
+    return F.hex(F.encode(text, "UTF-8"))
+
+
+def key_path(path: str | Column) -> Column:
+    """Bytes of a path in a key: its labels with SEPARATOR_BYTE between them, and a closing zero."""
+    return F.unhex(F.concat(F.array_join(F.transform(F.split(_col(path), "/", -1), _hex), SEPARATOR_BYTE), F.lit("00")))
+
+
+def decode_path(encoded: str | Column) -> Column:
+    """The path of key_path()'s bytes."""
+    code = F.hex(_col(encoded))
+    pairs = F.regexp_replace(F.substring(code, F.lit(1), F.length(code) - 2), "(..)", "$1 ")
+    labels = F.transform(F.split(pairs, SEPARATOR_BYTE + " ", -1), lambda x: F.decode(F.unhex(F.replace(x, F.lit(" "), F.lit(""))), "UTF-8"))
+    return F.array_join(labels, "/")
+
+
+def decode_key_path(encoded: str | Column, reversed_: bool = False) -> Column:
+    """The path of a key's bytes, turned back if it was stored reversed."""
+    path = decode_path(encoded)
+    return unreverse_path(path) if reversed_ else path
+
+
+def key_pattern(pattern: str | Column) -> Column:
+    """Bytes of a pattern in a search key, without a closing zero: a star is STAR_BYTE, an escaped character itself."""
+    # Escapes first become pairs that no separator or star is left in.
+    parts = F.regexp_extract_all(_col(pattern), F.lit(r"(?s)(\\.|[^\\]|\\$)"), F.lit(0))
+    one = lambda x: F.when(x == "/", SEPARATOR_BYTE).when(x == "*", STAR_BYTE).when((F.length(x) == 2) & x.startswith("\\"), _hex(F.substring(x, 2, 1))).otherwise(_hex(x))
+    return F.unhex(F.array_join(F.transform(parts, one), ""))
+
+
+def value_bytes(value: str | Column) -> Column:
+    """The eight bytes of encode_value()."""
+    return F.unhex(encode_value(value))
+
+
+def encode_key(path: str | Column = "path", value: str | Column = "value", ref: str | Column = "ref") -> Column:
+    """A key as bytes: struct (path, value, ref)."""
+    return F.struct(key_path(path).alias("path"), value_bytes(value).alias("value"), ref_bytes(ref).alias("ref"))
+
+
+def encode_search_key(pattern: str | Column, low: str | Column, high: str | Column, reversed_: bool = False) -> Column:
+    """A query as bytes: struct (path, low, high); reversed_ turns the pattern's labels around first."""
+    pattern = reverse_path(pattern) if reversed_ else _col(pattern)
+    return F.struct(key_pattern(pattern).alias("path"), value_bytes(low).alias("low"), value_bytes(high).alias("high"))
+
+
+#: Names of the index files by direction.
+INDEX_NAMES = {False: "index_forward.bin", True: "index_backward.bin"}
+
+
+def index_name(reversed_: bool) -> str:
+    return INDEX_NAMES[reversed_]
+
+
+#: Units of byte counts, largest first.
+UNITS = (("TB", 10**12), ("GB", 10**9), ("MB", 10**6))
+
+
+def byte_text(n: str | Column) -> Column:
+    """A byte count in its largest whole unit, cut off: 2999999 is "2 MB"; below a megabyte in bytes."""
+    n = _col(n)
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for unit, size in reversed(UNITS):
+        out = F.when(n >= size, F.concat(F.floor(n / F.lit(size)).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def path_size(path: str | Column) -> Column:
     return F.octet_length(_col(path)) + 1
 

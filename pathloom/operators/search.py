@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.glob import Pattern
+from pathloom.functions.paths import depth
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
@@ -72,22 +74,42 @@ def batch_counts(keys: DataFrame, queries: list[Query]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+#: Queries of a table of at most this many rows (about 50 MB) are broadcast for their labels; more meet keys by a shuffle.
+BROADCAST_QUERIES = 200_000
+#: Labels of a prefix that queries and keys are matched on, and tasks that one such beginning is dealt to.
+DEPTHS, SALTS = 4, 16
+
+
+def _beginning(text: str, n: str) -> str:
+    """SQL: the first n labels of a path, with their separators."""
+    return f"substring_index({text}, '/', {n} + 1)"
+
+
 def join_queries(keys: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, path, value, ref) for a query *table* (qid, regex, prefix, low, high) of any size.
 
-    Keys meet queries by an equality on the first label; a query that begins with a wildcard
-    goes to the labels that occur.  So neither side needs to fit anywhere, and no key is
-    compared with a query of another label.
+    A query is known by the whole labels of its prefix, up to DEPTHS of them; a prefix without a
+    whole label (a pattern that begins with a wildcard) has none.  A key meets the queries of each
+    of its own beginnings by an equality.  Queries are grouped by beginning; few groups are
+    broadcast, many are joined by a shuffle in which each beginning is dealt to SALTS tasks, so
+    one beginning of most keys is no hot key.  A query without a label is compared with every
+    key, as it must be; no pair is planned that differs in a whole label.
     """
-    label = F.substring_index(F.substring("path", 1, 1 << 20), "/", 2)
-    keyed = keys.withColumn("_label", label)
-    fixed = queries.where(F.length(F.substring_index("prefix", "/", 2)) < F.length("prefix")).withColumn("_label", F.substring_index("prefix", "/", 2))
-    loose = queries.where(F.length(F.substring_index("prefix", "/", 2)) >= F.length("prefix"))
-    seen = keyed.select("_label").distinct()
-    spread = loose.join(seen, F.col("_label").startswith(F.col("prefix")) | F.col("prefix").startswith(F.col("_label")))
-    both = fixed.select("qid", "regex", "low", "high", "_label").union(spread.select("qid", "regex", "low", "high", "_label"))
-    met = keyed.join(both, "_label").where(F.col("value").between(F.col("low"), F.col("high")) & F.rlike("path", F.col("regex")))
-    return met.select("qid", *keys.columns)
+    whole = F.expr("size(split(prefix, '/', -1)) - 2")
+    known = queries.withColumn("_n", F.greatest(F.lit(0), F.least(F.lit(DEPTHS), whole))).withColumn("_start", F.expr(f"if(_n = 0, '', {_beginning('prefix', '_n')})"))
+    groups = known.groupBy("_n", "_start").agg(F.collect_list(F.struct("qid", "regex", "low", "high")).alias("_asked"))
+    depths = [r._n for r in known.select("_n").distinct().orderBy("_n").collect()]
+    if not depths:
+        return keys.where("false").select(F.lit(None).cast("int").alias("qid"), *keys.columns)
+    starts = F.array(*[F.struct(F.lit(n).alias("_n"), F.expr("''" if n == 0 else _beginning("path", str(n))).alias("_start")) for n in depths])
+    rows = keys.select(F.explode(starts).alias("_own"), *keys.columns).select("_own._n", "_own._start", *keys.columns)
+    if queries.count() <= BROADCAST_QUERIES:
+        met = rows.join(F.broadcast(groups), ["_n", "_start"])
+    else:
+        every = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        met = rows.withColumn("_salt", F.pmod(F.xxhash64("path", "value", "ref"), F.lit(SALTS)).cast("int")).join(groups.withColumn("_salt", every), ["_n", "_start", "_salt"])
+    asked = met.select(F.explode("_asked").alias("_q"), *keys.columns)
+    return asked.where(F.col("value").between(F.col("_q.low"), F.col("_q.high")) & F.rlike("path", F.col("_q.regex"))).select(F.col("_q.qid").alias("qid"), *keys.columns)
 
 
 def query_table(spark, queries: list[Query]) -> DataFrame:
@@ -105,3 +127,44 @@ def selectivity(keys: DataFrame, queries: list[Query]) -> DataFrame:
     part = lambda c: F.round(F.col(c) / F.greatest("n", F.lit(1)), 9)
     rows = [F.struct(F.lit(i).alias("qid"), part(f"full{i}").alias("full"), part(f"values{i}").alias("values_only"), part(f"paths{i}").alias("paths_only")) for i in range(len(queries))]
     return counts.select(F.inline(F.array(*rows)))
+
+
+def match_stats(keys: DataFrame, queries: list[Query]) -> DataFrame:
+    """(qid, matches, sum_depth, avg_depth) of every query: depths in labels, their average a whole number, zero without a match."""
+    found = [(F.count_if(q.condition()).alias(f"n{i}"), F.coalesce(F.sum(F.when(q.condition(), depth("path"))), F.lit(0)).alias(f"d{i}")) for i, q in enumerate(queries)]
+    sums = keys.agg(*[c for pair in found for c in pair])
+    average = lambda i: F.when(F.col(f"n{i}") > 0, F.expr(f"d{i} div n{i}")).otherwise(F.lit(0)).cast("long").alias("avg_depth")
+    rows = [F.struct(F.lit(i).alias("qid"), F.col(f"n{i}").alias("matches"), F.col(f"d{i}").alias("sum_depth"), average(i)) for i in range(len(queries))]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def scan_report(found: DataFrame) -> dict[str, int]:
+    """Runs a query's plan and tells what its scans read: rows (after row groups were skipped), files and bytes, and the matches."""
+    run = found._jdf.queryExecution()
+    matches = run.toRdd().count()
+    out = {"matches": matches, "rows_read": 0, "files_read": 0, "bytes_read": 0}
+    leaves = run.executedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        metrics = leaves.apply(i).metrics()
+        for name, metric in (("rows_read", "numOutputRows"), ("files_read", "numFiles"), ("bytes_read", "filesSize")):
+            if metrics.contains(metric):
+                out[name] += metrics.apply(metric).value()
+    return out
+
+
+def for_each(found: DataFrame, call: Callable[[str, int, str], None]) -> None:
+    """Call ``call(path, value, ref)`` once for every match, on the executors."""
+
+    def run(rows) -> None:
+        for row in rows:
+            call(row["path"], row["value"], row["ref"])
+
+    found.select("path", "value", "ref").foreachPartition(run)
+
+
+def print_matches(found: DataFrame, most: int = 1000) -> int:
+    """Print up to ``most`` matches as lines ``path;value;ref`` on the driver; returns how many."""
+    shown = found.limit(most).collect()
+    for row in shown:
+        print(f"{row['path']};{row['value']};{row['ref']}")
+    return len(shown)

@@ -25,12 +25,27 @@ def hist_stats(hist: DataFrame) -> DataFrame:
     return hist.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 9).alias("average"), F.max("v").alias("most"))
 
 
+def running_sums(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """df with a running sum (name=column) for each entry, in a total order, without a single-task window.
+
+    Ranges are summed up in parallel; a range's start is the sum of the ranges before it.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    # As many rows as ranges.
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = parts.select("_part", *(F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(before), "_part")
+    return joined.select(*df.columns, *((F.col(f"_{k}") + F.sum(c).over(inside)).alias(k) for k, c in sums.items()))
+
+
 def hist_cumulative(hist: DataFrame) -> DataFrame:
-    """(v, n, percent, cumulative, cumulative_percent) in order of v; a histogram's rows are few, so one task adds them up."""
-    upto, all_ = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    total = F.sum("n").over(all_)
-    running = F.sum("n").over(upto)
-    return hist.select("v", "n", F.round(F.col("n") / total * 100, 9).alias("percent"), running.alias("cumulative"), F.round(running / total * 100, 9).alias("cumulative_percent"))
+    """(v, n, percent, cumulative, cumulative_percent) of a histogram of any number of values."""
+    hist = materialize(hist, "histogram")
+    total = hist.agg(F.sum("n")).first()[0] or 1
+    part = lambda c: F.round(F.col(c) / F.lit(total) * 100, 9)
+    return running_sums(hist, ["v"], cumulative="n").select("v", "n", part("n").alias("percent"), "cumulative", part("cumulative").alias("cumulative_percent"))
 
 
 def hist_bins(hist: DataFrame, bins: int, upper: int | None = None) -> DataFrame:
@@ -96,20 +111,12 @@ def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def pages_until(keys: DataFrame, wanted: int) -> DataFrame:
-    """(nr_keys, nr_pages, input_size): whole pages, filled in order of ref, until they hold ``wanted`` keys.
-
-    Running sums are taken inside buckets of the reference's first two digits; a bucket's
-    start is the sum of the buckets before it.
-    """
-    sized = keys.select("ref", F.substring("ref", 1, 2).alias("bucket"), (F.octet_length("path") + KEY_HEADER + 9).cast("long").alias("size"))
-    sums = sized.groupBy("bucket").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
-    upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("bucket", F.coalesce(F.sum("b").over(upto), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("c0"))
-    inside = W.partitionBy("bucket").orderBy("ref").rowsBetween(W.unboundedPreceding, 0)
-    placed = sized.join(F.broadcast(sums), "bucket").select((F.col("b0") + F.sum("size").over(inside)).alias("bytes"), (F.col("c0") + F.row_number().over(inside)).alias("nr"))
-    page = placed.select("nr", F.floor((F.col("bytes") - 1) / (PAGE_BYTES - 2)).alias("page"))
-    last = page.agg(F.max(F.when(F.col("nr") <= wanted, F.col("page"))).alias("last"))
-    return page.crossJoin(F.broadcast(last)).where("page <= last").agg(F.count("*").alias("nr_keys"), (F.max("last") + 1).alias("nr_pages"), ((F.max("last") + 1) * PAGE_BYTES).alias("input_size"))
+    """(nr_keys, nr_pages, input_size): whole pages, filled in order of ref, until they hold ``wanted`` keys."""
+    sized = keys.select("ref", (F.octet_length("path") + KEY_HEADER + 9).cast("long").alias("size"), F.lit(1).cast("long").alias("one"))
+    placed = materialize(running_sums(sized, ["ref", "size"], bytes="size", nr="one").select("nr", F.floor((F.col("bytes") - 1) / (PAGE_BYTES - 2)).alias("page")), "pages")
+    last = placed.where(F.col("nr") <= wanted).agg(F.max("page")).first()[0]
+    last = F.lit(-1 if last is None else last).cast("long")
+    return placed.where(F.col("page") <= last).agg(F.count("*").alias("nr_keys"), (last + 1).alias("nr_pages"), ((last + 1) * PAGE_BYTES).alias("input_size"))
 
 
 #: The cost model's parameters, data set sizes and memory sizes.

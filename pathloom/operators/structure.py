@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import encode_path, encode_value
-from pathloom.plans.scratch import materialize
+from pathloom.plans.scratch import drop_table, materialize, new_folder
 
 LEAF_KEYS = 100
+#: Groups or nodes of at most this many rows are broadcast to their keys; more are joined by a shuffle, each dealt to SALTS tasks.
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def common_bytes(a: str, b: str) -> Column:
@@ -37,12 +40,21 @@ def discriminative_bytes(keys: DataFrame, *by: str) -> DataFrame:
     return ends.select(*by, "n_keys", common_bytes("lo_p_hex", "hi_p_hex").alias("dsc_p"), common_bytes("lo_v_hex", "hi_v_hex").alias("dsc_v"))
 
 
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with what groups, a row for each value of ``by``, says; a group of most rows is no hot key."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), by)
+    salted = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("p_hex", "v_hex"), F.lit(SALTS)).cast("int")).join(salted, [*by, "_salt"]).drop("_salt")
+
+
 def psi_partition(keys: DataFrame, dimension: str, *by: str) -> DataFrame:
     """(..., byte, n_keys): keys split by the byte at the discriminative position of a dimension, as two hex digits."""
     code, place = ("p_hex", "dsc_p") if dimension == "PATH" else ("v_hex", "dsc_v")
     found = discriminative_bytes(keys, *by).select(*by, place)
     rows = encoded(keys)
-    joined = rows.join(F.broadcast(found), list(by)) if by else rows.crossJoin(F.broadcast(found))
+    # Without groups there is one row to broadcast.
+    joined = _beside(rows, materialize(found, "places"), list(by)) if by else rows.crossJoin(F.broadcast(found))
     return joined.groupBy(*by, F.expr(f"substring({code}, 2 * {place} + 1, 2)").alias("byte")).agg(F.count("*").alias("n_keys"))
 
 
@@ -62,12 +74,14 @@ def suffixes(keys: DataFrame) -> DataFrame:
 def trie_nodes(keys: DataFrame, leaf_keys: int = LEAF_KEYS) -> DataFrame:
     """One row for each node: node (bytes chosen on the way down), depth, dim, n_keys, len_p, len_v, fanout, byte_size.
 
-    A level at a time: a group-by finds each node's size and common prefixes, and the keys
-    of inner nodes go on, their offsets moved.  The number of rounds is the trie's depth.
+    A level at a time: a group-by finds each node's size and common prefixes, the inner nodes
+    come back to their keys, and what is left of these goes on; keys of leaves go.  Each level
+    is appended to one table, and the level before it is deleted.  The number of rounds is the
+    trie's depth.
     """
-    state = encoded(keys).select(F.lit("").alias("node"), "p_hex", "v_hex", F.lit("VALUE").alias("dim"))
-    state = materialize(state, "trie")
-    out: DataFrame | None = None
+    spark = keys.sparkSession
+    folder = new_folder(spark, "nodes")
+    state = materialize(encoded(keys).select(F.lit("").alias("node"), "p_hex", "v_hex", F.lit("VALUE").alias("dim")), "trie")
     depth = 0
     while True:
         group = state.groupBy("node", "dim").agg(
@@ -75,26 +89,25 @@ def trie_nodes(keys: DataFrame, leaf_keys: int = LEAF_KEYS) -> DataFrame:
             *(f(c).alias(f"{n}_{c}") for c in ("p_hex", "v_hex") for n, f in (("lo", F.min), ("hi", F.max))),
             F.sum(F.length("p_hex") / 2 + F.length("v_hex") / 2).cast("long").alias("bytes"),
         )
-        node = group.select("node", "dim", "n_keys", "bytes", "lo_p_hex", "hi_p_hex", "lo_v_hex", "hi_v_hex", common_bytes("lo_p_hex", "hi_p_hex").alias("len_p"), common_bytes("lo_v_hex", "hi_v_hex").alias("len_v"))
-        same = (F.col("lo_p_hex") == F.col("hi_p_hex")) & (F.col("lo_v_hex") == F.col("hi_v_hex"))
-        leaf = same | (F.col("n_keys") <= leaf_keys) if depth else same
         no_path, no_value = F.col("lo_p_hex") == F.col("hi_p_hex"), F.col("lo_v_hex") == F.col("hi_v_hex")
+        leaf = (no_path & no_value) | (F.col("n_keys") <= leaf_keys) if depth else no_path & no_value
         used = F.when(leaf, "LEAF").when((F.col("dim") == "PATH") & no_path, "VALUE").when((F.col("dim") == "VALUE") & no_value, "PATH").otherwise(F.col("dim"))
-        node = materialize(node.withColumn("used", used).drop("lo_p_hex", "hi_p_hex", "lo_v_hex", "hi_v_hex"), "trie")
+        places = (common_bytes("lo_p_hex", "hi_p_hex").alias("len_p"), common_bytes("lo_v_hex", "hi_v_hex").alias("len_v"))
+        node = materialize(group.select("node", "n_keys", "bytes", *places, used.alias("used")), "level")
         inner = node.where("used <> 'LEAF'").select("node", "used", "len_p", "len_v")
-        cut = F.expr("substring(if(used = 'PATH', p_hex, v_hex), 2 * if(used = 'PATH', len_p, len_v) + 1, 2)")
-        moved = state.drop("dim").join(inner, "node").withColumn("byte", cut)
+        moved = _beside(state.drop("dim"), inner, ["node"])
+        byte = F.expr("substring(if(used = 'PATH', p_hex, v_hex), 2 * if(used = 'PATH', len_p, len_v) + 1, 2)")
         down = materialize(
             moved.select(
-                F.concat("node", "byte").alias("node"),
-                F.col("node").alias("parent"),
+                F.concat("node", byte).alias("node"),
                 F.expr("substring(p_hex, 2 * (len_p + if(used = 'PATH', 1, 0)) + 1)").alias("p_hex"),
                 F.expr("substring(v_hex, 2 * (len_v + if(used = 'VALUE', 1, 0)) + 1)").alias("v_hex"),
                 F.when(F.col("used") == "PATH", "VALUE").otherwise("PATH").alias("dim"),
             ),
             "trie",
         )
-        fan = down.groupBy("parent").agg(F.count_distinct("node").alias("fanout"))
+        # A child's name is its parent's and one more byte.
+        fan = down.select("node").distinct().groupBy(F.expr("substring(node, 1, length(node) - 2)").alias("parent")).agg(F.count("*").alias("fanout"))
         level = node.join(fan, node["node"] == fan["parent"], "left").select(
             "node",
             F.lit(depth).alias("depth"),
@@ -106,8 +119,12 @@ def trie_nodes(keys: DataFrame, leaf_keys: int = LEAF_KEYS) -> DataFrame:
             # Header, prefixes, and a pointer for each child or a suffix and reference for each key.
             F.expr("cast(4 + len_p + len_v + if(used = 'LEAF', bytes - n_keys * (len_p + len_v) + 22 * n_keys, 7 * coalesce(fanout, 0)) AS bigint)").alias("byte_size"),
         )
-        out = level if out is None else out.union(level)
+        level.write.mode("append").parquet(folder)
+        schema = level.schema
+        for used_up in (node, state):
+            drop_table(used_up)
         if down.isEmpty():
-            return materialize(out, "trie")
-        state = down.drop("parent")
+            drop_table(down)
+            return spark.read.schema(schema).parquet(folder)
+        state = down
         depth += 1

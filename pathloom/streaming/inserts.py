@@ -1,7 +1,7 @@
 """Inserts as a stream: a file source of keys, appended to a store micro-batch by micro-batch.
 
-The query keeps no state.  A batch that is run again after a failure is recognised by its
-number and not appended twice.
+The query keeps no state.  A batch's number is committed in the manifest that commits its keys,
+so a batch that is run again after a failure at any point is stored once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pathloom.plans.scratch import file_system
 from pathloom.plans.store import Store
 
 
@@ -19,11 +18,7 @@ def insert_stream(source: DataFrame, store: Store, checkpoint: str, to_keys: Cal
     """Start appending ``to_keys(batch)`` of a streaming source to the store; stops when all available input is stored."""
 
     def append(batch: DataFrame, number: int) -> None:
-        system, mark = file_system(store.spark, f"{checkpoint}/stored/{number}")
-        if system.exists(mark):
-            return
-        store.insert(to_keys(batch))
-        system.create(mark, True).close()
+        store.insert(to_keys(batch), batch=f"{checkpoint}#{number}")
 
     return source.writeStream.foreachBatch(append).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
 
