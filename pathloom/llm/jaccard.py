@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
-from pathloom.llm.kernel import blocks, materialize, mix, shingle_sets
+from pathloom.llm.kernel import blocks, drop_table, lean, materialize, mix, shingle_sets
 
 #: log2 of the counters of the frequency table, and counters in one of its cells.
 SKETCH_BITS = 22
@@ -280,22 +280,26 @@ class Join:
         leaders = dealt.select(F.col("a").alias("node"), F.col("a").alias("group"), "salt", F.lit(0).alias("lead")).distinct()
         wanted = materialize(members.union(leaders).join(self.classes.select("node", "doc_id"), "node"), "wanted")
         texts = self.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id").select("text", "node", "group", "salt", "lead")
-        sets = texts.mapInArrow(_sets(self.width), "group long, salt int, lead int, node long, tokens binary")
+        sets = texts.mapInArrow(lean(_sets(self.width)), "group long, salt int, lead int, node long, tokens binary")
         met = sets.repartition("group", "salt").sortWithinPartitions("group", "salt", "lead")
-        return met.mapInArrow(_overlaps, "a long, b long, a_n long, b_n long, shared long").distinct()
+        checked = materialize(met.mapInArrow(lean(_overlaps), "a long, b long, a_n long, b_n long, shared long").distinct(), "checked")
+        drop_table(wanted)
+        return checked
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents (doc_id, n, node), classes (node, doc_id of the representative, copies), and verified links (a, b) that span every component."""
-        found = materialize(self.docs.mapInArrow(_profile(self.width), "doc_id long, n long, node long, cell int, counts binary"), "profiles")
+        found = materialize(self.docs.mapInArrow(lean(_profile(self.width)), "doc_id long, n long, node long, cell int, counts binary"), "profiles")
         rows = found.where("cell is null").select("doc_id", "n", "node")
         classes, mean = frequency_classes(found.where("cell is not null").select("cell", "counts"))
         self.classes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
         table = self.spark.sparkContext.broadcast(classes)
         named = self.docs.where("doc_id is not null").select("text")
-        postings = named.mapInArrow(_prefixes(table, mean, self.width, self.percent), "token long, salt int, node long, info long")
+        postings = named.mapInArrow(lean(_prefixes(table, mean, self.width, self.percent)), "token long, salt int, node long, info long")
         dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-        lists = self._postings(materialize(dealt.mapInArrow(_lists, "token long, node long, n int, l int, pos int"), "lists"))
-        lists = materialize(lists, "postings")
+        shared = materialize(dealt.mapInArrow(lean(_lists), "token long, node long, n int, l int, pos int"), "lists")
+        table.destroy()
+        lists = materialize(self._postings(shared), "postings")
+        drop_table(shared)
         size = lists.count()
         links = root = tested = None
         good = f"{100 + self.percent} * shared >= {self.percent} * (a_n + b_n)"
@@ -312,6 +316,7 @@ class Join:
             mixed = materialize(mixed.select("token", ((F.col("every") * F.col("every") - F.col("squares")) / 2).alias("left"), F.col("top.root").alias("y_root"), "top.y.*"), "mixed")
             left = mixed.agg(F.sum("left")).first()[0] or 0
             if left == 0:
+                drop_table(mixed)
                 break
             x = own.select("token", *[F.col(c).alias(f"x_{c}") for c in SIDE])
             last = turn > 0 and (left <= FEW * size + 10_000 or turn == LAST_ROUND)
@@ -319,7 +324,10 @@ class Join:
             both = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
             if tested is not None:
                 pairs = pairs.select("*", *both).join(tested, ["lo", "hi"], "left_anti")
-            checked = materialize(self._verify(materialize(pairs.select("a", "b"), "pairs")), "checked")
+            pairs = materialize(pairs.select("a", "b"), "pairs")
+            drop_table(mixed)
+            checked = self._verify(pairs)
+            drop_table(pairs)
             tested = checked.select(*both) if tested is None else tested.union(checked.select(*both))
             new = checked.where(good).select("a", "b")
             links = new if links is None else links.union(new)
