@@ -177,6 +177,135 @@ def test_store_merges_and_answers(spark, rows, tmp_path):
     assert store.read().count() == 0
 
 
+def test_reversed_copy_prunes(spark, tmp_path):
+    """A pattern that begins with a wildcard reads fewer rows from the copy by reversed path, one with a prefix from the other."""
+    made = [(f"/d{i % 97:02}/f{i % 89:02}", i, f"{i:040x}") for i in range(8000)]
+    df = table(spark, made)
+    store = Store(spark, f"file://{tmp_path}/store", reverse=True)
+    # So few keys would else be one row group.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store.bulk_load(df)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for pattern, better in (("/**/f07", "0"), ("/d03/**", "1"), ("/*/f88", "0")):
+        told = {d: search.scan_report(store.query(pattern, direction=d)) for d in ("0", "1", "auto")}
+        want = search.search(df, pattern).count()
+        assert {t["matches"] for t in told.values()} == {want}
+        other = "1" if better == "0" else "0"
+        assert told["auto"]["rows_read"] == told[better]["rows_read"] <= 4000 < 8000 == told[other]["rows_read"]
+    assert Counter(map(tuple, store.query("/**/f07").collect())) == Counter(r for r in made if r[0].endswith("/f07"))
+
+
+def test_batches_are_stored_once(spark, rows, tmp_path, monkeypatch):
+    """A crash after the commit, and a batch that is run again."""
+    df = table(spark, rows)
+    store = Store(spark, f"file://{tmp_path}/store", 1)
+    monkeypatch.setattr(store, "merge", lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.insert(df, batch="a")
+    again = Store(spark, f"file://{tmp_path}/store", 1)
+    assert not again.insert(df, batch="a")
+    assert again.insert(df.limit(2), batch="b")
+    assert again.read().count() == len(rows) + 2
+    assert {r.place: r.n_keys for r in again.facts().collect()} == {"0": len(rows) + 2, "buffer": 0}
+
+
+def test_earlier_readers_outlive_merges(spark, rows, tmp_path):
+    df = table(spark, rows)
+    store = Store(spark, f"file://{tmp_path}/store", 10)
+    store.insert(df.limit(12))
+    before = store.read()
+    store.insert(df.limit(12))
+    assert before.count() == 12 and store.read().count() == 24
+    for _ in range(4):
+        store.insert(df.limit(12))
+    folders = [p for p in (tmp_path / "store" / "data").iterdir()]
+    assert store.read().count() == 72 and len(folders) < 12
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_query_join_plans_no_cross_product(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", broadcast)
+    df = table(spark, rows)
+    queries = [Query("/a/**", -20, 20), Query("/**/x1"), Query("/*/u/*", 0, 50), Query("/a/u/**"), Query("/a/u/x1"), Query("/a"), Query("/a*/u/**"), Query("/a/u/*")]
+    found = search.join_queries(df, search.query_table(spark, queries))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    want = Counter((i, r.path, r.value, r.ref) for i, q in enumerate(queries) for r in search.search(df, q.pattern, q.low, q.high).collect())
+    assert Counter(map(tuple, found.collect())) == want
+    assert search.join_queries(df, search.query_table(spark, queries).limit(0)).count() == 0
+
+
+def test_callbacks_and_prints(spark, rows, capsys):
+    df = search.search(table(spark, rows), "/a/**")
+    seen, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def call(path, value, ref):
+        assert path.startswith("/a") and len(ref) == 40
+        seen.add(1)
+        total.add(value)
+
+    search.for_each(df, call)
+    assert seen.value == df.count() and total.value == sum(r.value for r in df.collect())
+    assert search.print_matches(df, 3) == 3
+    assert all(line.count(";") == 2 for line in capsys.readouterr().out.splitlines())
+
+
+def test_key_bytes(spark):
+    texts = ["/a/b", "", "/", "a//é/", "/漢\n", "/x/"]
+    df = spark.createDataFrame([(t,) for t in texts], "p string").select("p", paths.key_path("p").alias("k"), paths.decode_path(paths.key_path("p")).alias("back"))
+    for r in df.collect():
+        assert bytes(r.k) == r.p.encode().replace(b"/", b"\xff") + b"\0" and r.back == r.p
+    asked = {"/a*/**": b"\xffa\xfd\xff\xfd\xfd", "/\\*b\\\\": b"\xff*b\\", "é\\": "é\\".encode(), "/\\/x": b"\xff/x"}
+    df = spark.createDataFrame([(t,) for t in asked], "p string").select("p", paths.key_pattern("p").alias("k"))
+    assert {r.p: bytes(r.k) for r in df.collect()} == asked
+    assert paths.index_name(True) != paths.index_name(False)
+
+
+def test_running_sums(spark):
+    made = [(i * 7919 % 1000, i % 5) for i in range(1000)]
+    got = statistics.running_sums(spark.createDataFrame(made, "k long, n long").repartition(5), ["k"], upto="n").collect()
+    total = 0
+    for r, (k, n) in zip(sorted(got), sorted(made), strict=True):
+        total += n
+        assert (r.k, r.upto) == (k, total)
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_groups_beside_keys(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(structure, "BROADCAST_ROWS", broadcast)
+    df = table(spark, rows).withColumn("g", paths.F.substring("path", 1, 2))
+    got = structure.psi_partition(df, "PATH", "g").groupBy("g").agg(paths.F.sum("n_keys").alias("n")).collect()
+    assert {r.g: r.n for r in got} == Counter(p[:2] for p, _, _ in rows)
+    nodes = structure.trie_nodes(table(spark, rows), 10)
+    assert Counter((r.depth, r.dim, r.n_keys, r.len_p, r.len_v, r.fanout, r.byte_size) for r in nodes.collect()) == plain_trie(rows, 10)
+
+
+def test_command_line(spark, rows, tmp_path, capsys):
+    from pathloom.__main__ import main
+
+    good = [(p, v, r) for p, v, r in rows if p and abs(v) < 10**8]
+    (tmp_path / "in.txt").write_text("".join(f"{p};{v};{r}\n" for p, v, r in good))
+    (tmp_path / "q.csv").write_text("/a/**;-20;20\n/**/x1;-1000;1000\n")
+    folder = f"file://{tmp_path}"
+    said = lambda *args: (main([str(a) for a in args]), capsys.readouterr().out.splitlines())[1]
+    told = dict(line.split(";")[:2] for line in said("create", f"{folder}/store", f"{folder}/in.txt", "--fraction", 0.5, "--max-buffer-keys", 10, "--reverse")[1:])
+    assert sum(map(int, told.values())) == len(good)
+    want = [sum(p.startswith("/a/") and not p.endswith("/") and -20 <= v <= 20 for p, v, _ in good), sum(p.endswith("/x1") for p, _, _ in good)]
+    assert len(said("query", f"{folder}/store", "/**/x1")) == want[1]
+    shown = said("query", f"{folder}/store", "--queries", f"{folder}/q.csv", "--repetitions", 2, "--warmup")
+    assert [line.split(";")[:2] for line in shown] == [["Q0", str(want[0])], ["Q0", str(want[0])], ["Q1", str(want[1])], ["Q1", str(want[1])], ["sum", str(2 * sum(want))], ["average", str(2 * sum(want) // 4)]]
+    assert said("selectivity", f"{folder}/store", f"{folder}/q.csv")[1].startswith(f"0;{round(want[0] / len(good), 9)};")
+    said("keys", f"{folder}/in.txt", f"{folder}/keys")
+    said("lines", f"{folder}/keys", f"{folder}/lines")
+    assert sorted(r[0] for r in spark.read.text(f"{folder}/lines").collect()) == sorted(f"{p};{v};{r}" for p, v, r in good)
+    assert said("pages", f"{folder}/keys", 5)[1].split(";")[0] == str(len(good))
+    swept = said("sweep", f"{folder}/in.txt", "--buffers", 20, "--fractions", 0, 1)
+    assert [line.split(";")[2] for line in swept[1:]] == [str(len(good))] * 2
+    assert len(said("costs")) > 5
+    with pytest.raises(SystemExit):
+        main(["query", f"{folder}/store"])
+
+
 def test_stream(spark, rows, tmp_path):
     table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/in")
     store = Store(spark, f"file://{tmp_path}/store", 30)
