@@ -14,14 +14,16 @@ threshold (percent).  Steps:
    That bounds a pair's overlap at each shared token: by the smaller rank (among tokens that
    others have) before it, and the smaller rest of the set after it.
 4. Rather than all pairs of a list, rounds test each member against one leader, the document
-   with the largest part that can be shared.  Verified links merge components, and only
-   pairs of different components that pass the bounds stay candidates.  When few are left,
-   all of them are enumerated, counted against ``l`` and verified: no component is missed.
+   with the largest part that can be shared, later another one.  Verified links merge
+   components, and only pairs of different components that pass the bounds stay candidates.
+   When few are left, or a round no longer helps, all of them are enumerated, counted against
+   ``l`` and verified: no component is missed.
 
 Defined results: null, empty and blank texts have the empty set and link with nothing; with
-fewer words than ``width`` the whole sequence is the one shingle; repeated rows share a
-component; a row without id is its own and has a null component.  Sets are compared as
-64-bit hashes.
+fewer words than ``width`` the whole sequence is the one shingle; repeated rows, and rows of
+equal sets, share a component; pairs at the threshold link; a row without id is its own and has
+a null component; texts are read whole, however long; other columns of documents, of any name,
+are not read; an empty table gives no rows.  Sets are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,11 +50,13 @@ VERIFY_COST = 8.0
 #: From this frequency class on (2 ** (HOT / 2) times the mean), a token's list is dealt to SALTS tasks.
 HOT = 8
 SALTS = 16
-#: Enumerate all cross-component pairs once their estimate is at most this many for each posting, or in LAST_ROUND.
+#: Enumerate all cross-component pairs once their estimate is at most this many for each posting, or a round leaves more than
+#: this part of it, or after MOST_ROUNDS.
 FEW = 4.0
-LAST_ROUND = 2
+SLOW = 0.7
+MOST_ROUNDS = 8
 #: Members that one leader's set is compared with in a task; larger groups are dealt to several tasks.
-GROUP = 1000
+GROUP = 128
 #: Pairs of at most this many rows (about 60 MB) are broadcast to pick their documents' texts; more are joined by a shuffle.
 BROADCAST_IDS = 600_000
 
@@ -303,7 +307,8 @@ class Join:
         size = lists.count()
         links = root = tested = None
         good = f"{100 + self.percent} * shared >= {self.percent} * (a_n + b_n)"
-        for turn in range(LAST_ROUND + 1):
+        before = float("inf")
+        for turn in range(MOST_ROUNDS + 1):
             own = lists.withColumn("root", F.col("node"))
             if root is not None:
                 own = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -319,7 +324,8 @@ class Join:
                 drop_table(mixed)
                 break
             x = own.select("token", *[F.col(c).alias(f"x_{c}") for c in SIDE])
-            last = turn > 0 and (left <= FEW * size + 10_000 or turn == LAST_ROUND)
+            last = turn > 0 and (left <= FEW * size + 10_000 or left > SLOW * before or turn == MOST_ROUNDS)
+            before = left
             pairs = self._all_pairs(x, own, mixed) if last else self._leader_pairs(x, mixed)
             both = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
             if tested is not None:
