@@ -88,6 +88,29 @@ def test_jaccard_edges(spark):
     assert found == [(-1, 2, None), (1, 0, 1), (3, 2, 3), (3, 2, 3)]
 
 
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_jaccard_long_texts_and_ties(spark, monkeypatch, rounds):
+    """Texts of 20,000 words, repeated rows, pairs exactly at the threshold, and a passage that many texts share; few and many rounds."""
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FEW", 0.0)
+    monkeypatch.setattr(jaccard, "GROUP", 7)
+    pick = random.Random(21)
+    long = [f"l{pick.randrange(5000)}" for _ in range(20_000)]
+    near = list(long)
+    for _ in range(300):
+        near[pick.randrange(20_000)] = "changed"
+    far = list(long)
+    for _ in range(3000):
+        far[pick.randrange(20_000)] = "changed"
+    base = [f"t{i}" for i in range(13)]  # nine shingles; eight of them shared are 8 / 10
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(t) for t in (long, near, far, base, base[:12] + ["z"], ["z"] + base, ["y"] + base[:12] + ["z"])]
+    texts += [" ".join(passage + [f"o{i}x{k}" for k in range(pick.choice([4, 8, 12, 20, 40]))]) for i in range(60)]
+    rows = [*enumerate(texts)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.assign(docs(spark, [*rows, rows[1], rows[3], rows[3]])).collect()}
+    assert found == brute(rows)
+
+
 def test_links_span_components(spark):
     texts = near_texts(120, 3)
     want = brute(texts)
@@ -239,6 +262,103 @@ def test_decontamination_items_without_windows(spark):
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 1), (6, 1), (11, 3)}
 
 
+def plain_tokens(text):
+    """Words, template tokens and slots of a text of ASCII signs."""
+    words = [w for w in (text or "").split() if re.search("[0-9A-Za-z]", w)]
+    cores = [w[re.search("[0-9A-Za-z]", w).start() :] for w in words]
+    plain = [re.sub("[^0-9a-z]", "\0", c.lower()).rstrip("\0") for c in cores]
+    out, before = [], ""
+    for k, (w, core, own) in enumerate(zip(words, cores, plain, strict=True)):
+        opens = not before or before[-1] in "!.:?"
+        name = bool(re.match("[A-Z][a-z]", core)) and not opens
+        if core[0].isdigit():
+            out.append(["NUMBER", own])
+        elif own in decontam.UNITS and k and cores[k - 1][0].isdigit():
+            out.append(["UNIT", own])
+        elif name and out and out[-1][0] == "NAME" and before[-1].isalnum():
+            out[-1][1] = own
+        elif name:
+            out.append(["NAME", own])
+        else:
+            out.append([own, None])
+        before = w
+    return plain, [(t, v) if v else (("word", t), None) for t, v in out]
+
+
+def plain_leaks(texts, items):
+    """(document, item): windows that count, by comparing every window with every window."""
+
+    def windows(tokens):
+        return [(k, tokens[k : k + 8]) for k in range(len(tokens) - 7) if sum(v is None for _, v in tokens[k : k + 8]) >= 4]
+
+    found = {}
+    for item, said in items:
+        words, tokens = plain_tokens(said)
+        own = windows(tokens)
+        sets = [(0, k, w) for k, w in own]
+        if not own and words:
+            sets = [(1, 0, [(w, None) for w in words])]
+            if sum(v is None for _, v in tokens) >= 4:
+                sets.append((2, 0, tokens))
+        size = len({k for _, k, _ in sets})
+        for doc, text in texts:
+            words, tokens = plain_tokens(text)
+            groups = {}
+            for kind, k, want in sets:
+                source = [(w, None) for w in words] if kind == 1 else tokens
+                for at in range(len(source) - len(want) + 1):
+                    got = source[at : at + len(want)]
+                    if [t for t, _ in got] == [t for t, _ in want]:
+                        groups.setdefault((kind, at - k), []).append((k, [(x, y) for (_, x), (_, y) in zip(want, got, strict=True) if x]))
+            total = 0
+            for met in groups.values():
+                pairs = {p for _, slots in met for p in slots}
+                bad_x = {x for x, _ in pairs if len({b for a, b in pairs if a == x}) > 1}
+                bad_y = {y for _, y in pairs if len({a for a, b in pairs if b == y}) > 1}
+                kept = {k for k, slots in met if not any(x in bad_x or y in bad_y for x, y in slots)}
+                if not (bad_x or bad_y) or 2 * len(kept) >= size:
+                    total += len(kept)
+            if size and total >= min(decontam.LEAST_WINDOWS, size):
+                found[doc, item] = total
+    return found
+
+
+def test_decontamination_equals_plain_version(spark):
+    """Copies, re-parameterised and inconsistent questions, short items and plain texts against windows compared one by one."""
+    pick = random.Random(31)
+    names, units, words = ["Anna", "Tom", "Mary Ann", "Zoe"], ["km", "apples", "dollars", "minutes"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+
+    def fill(shape):
+        return " ".join(pick.choice(names) if t == "N" else str(pick.randrange(2, 60)) if t == "D" else pick.choice(units) if t == "U" else t for t in shape)
+
+    shapes = [[pick.choice(["N", "D", "D", "U", *[pick.choice(words) for _ in range(9)]]) for _ in range(pick.choice([2, 5, 7, 9, 14, 30]))] for _ in range(40)]
+    items = [(i, ("See how " if i % 2 else "") + fill(s) + pick.choice(["", "?", "."])) for i, s in enumerate(shapes)]
+    texts = []
+    for k in range(160):
+        shape, item = pick.choice(shapes), pick.choice(items)[1]
+        inner = pick.choice([fill(shape), item, item.upper(), item.replace("Anna", "Bob"), " ".join(item.split()[: pick.randint(1, 12)]), item.replace("1", "2")])
+        around = " ".join(pick.choice(words) for _ in range(pick.choice([0, 3, 20])))
+        texts.append((k, f"{around} {inner} {around}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.report(docs(spark, texts), bench).collect()}
+    assert got == plain_leaks(texts, items) and len(got) > 60
+
+
+def test_pii_discovery_recall(spark):
+    """Identifiers of no base kind after patterns that seeds taught; nothing in plain texts."""
+    pick = random.Random(17)
+    chunks = [f"{w}:" for w in ("contact", "login", "account", "reach-me", "user")]
+    texts = [f"some words {c} u{i}@mail{i}.com and more" for c in chunks for i in range(20)]
+    keys = ["".join(pick.choice("abcdef0123456789") for _ in range(pick.randint(8, 40))) + "7" for _ in range(120)]
+    planted = {len(texts) + i: k for i, k in enumerate(keys)}
+    texts += [f"text before {pick.choice(chunks)} {k} and after" for k in keys]
+    clean = range(len(texts), len(texts) + 120)
+    texts += [f"plain words number {pick.randrange(10**7)} room{i:03}a1 free" for i in range(120)]
+    got = {r.doc_id: r.spans for r in pii.extract(docs(spark, enumerate(texts))).collect()}
+    found = sum(got[i] == f"id:{texts[i].index(k)}:{texts[i].index(k) + len(k)}" for i, k in planted.items())
+    assert found >= 0.9 * len(planted) and all(got[i] == "" for i in clean)
+
+
 def test_warc(spark, tmp_path):
     htmls = ["same", "", None, "a\r\n\r\nWARC/1.1\r\nb", "same", "é漢", "same", "x" * 5000, ""]
     rows = [(i * 7 - 3, f"http://h/{i}\r\nX: y" if i == 3 else f"http://h/{i}", h) for i, h in enumerate(htmls)]
@@ -286,24 +406,96 @@ def test_warc_large_records_and_clashes(spark, tmp_path, monkeypatch):
     assert sorted((r.page_id, bytes(r.payload).decode()) for r in whole) == sorted((i, h) for i, _, h, *_ in rows)
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
+def _pipeline_tables(spark, folder, clash=()):
+    """Documents with a planted case for each stage, and their tables; returns the texts."""
     pick = random.Random(2)
-    words = [f"w{i}" for i in range(900)]
-    texts = [" ".join(pick.choice(words) for _ in range(60)) for _ in range(80)]
-    texts[5] = texts[4]
-    texts[6] = texts[4] + " extra"
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(pick.choice(words) for _ in range(60)) for _ in range(480)]
+    labels = []
+    for i in range(480):
+        bad = i % 4 == 3
+        if bad:
+            own = texts[i].split()
+            for _ in range(4):
+                own.insert(pick.randint(0, len(own)), pick.choice(["vile", "scummy", "rotten"]))
+            texts[i] = " ".join(own)
+        if i != 151:
+            labels.append((i, 1, int(bad)))
+    texts[5], texts[6] = texts[4], texts[4] + " extra"
     item = " ".join(pick.choice(words) for _ in range(20))
-    texts[7] = texts[7] + " " + item
+    texts[12] += " " + item
     texts[8] += " write to me@here.org"
-    folder = str(tmp_path)
-    docs(spark, [*enumerate(texts), (None, None), (200, "")]).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    rows = [*enumerate(texts), (None, None), (1200, ""), (1201, "word " * 100_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["z"] * len(clash)) for i, t in rows], DOCS + "".join(f", {c} string" for c in clash))
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "PII", "byte-level BPE"]
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert set(out) == {*range(80), None, 200} - {5, 6, 7}
-    assert all(r.round_trip for r in out.values())
+    return dict(rows)
 
 
+CLASH = ["_id", "_hash", "_spans", "_feature", "text_hash", "node", "n", "component_id", "item_id", "window", "shift", "added", "base", "words", "w", "x", "a", "s", "feature", "score", "v", "key", "value", "before", "word"]
+
+
+@pytest.mark.parametrize("clash", [(), CLASH])
+def test_pipeline(spark, tmp_path, clash):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    texts = _pipeline_tables(spark, folder, clash)
+    toxic = {i for i in range(480) if i % 4 == 3}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "PII", "byte-level BPE"]
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), "stage")
+        assert k == 4 or docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        seen.append({r.doc_id for r in docs.select("doc_id").collect()})
+    every = set(texts)
+    # The unlabelled toxic document goes as well.
+    assert seen[0] == every - toxic and 151 in toxic
+    assert seen[1] == seen[0] - {5, 6} and seen[2] == seen[1] - {12} and seen[3] == seen[4] == seen[2]
+    out = {r.doc_id: r for r in docs.collect()}
+    assert all(r.round_trip for r in out.values()) and out[1201].n_tokens > 99_000 and out[None].n_tokens == 0
+    if not clash:
+        assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, folder).collect()} == {i: r.n_tokens for i, r in out.items()}
+
+
+def test_pipeline_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and out.collect() == []
+
+
+def test_columns_of_any_name(spark):
+    """Every operator gives the same rows for a table with columns named like its own, and keeps them where it returns its input."""
+    import public_tokenizers
+
+    from pathloom.llm import bpe, chat, gif, langid, toxicity
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    names = [*CLASH, "ids", "n_tokens", "decoded", "piece_starts", "frames", "media", "lang_pred", "host", "path", "rule", "verdict", "payload", "original", "size", "turns", "mask", "formatted", "k", "suffix", "domain"]
+    plain = docs(spark, [(i, f"user{i}@mail.com wrote some more words here {i} vile") for i in range(8)] + [(None, None), (3, "user3@mail.com")])
+    wide = plain.select("*", *[paths_lit(c) for c in names])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "wrote some more words here 5 vile")], "item_id long, text string")
+    pages = ("page_id long, url string, html string", [(1, "http://a.com/de/x", "h"), (2, "http://a.com/y", "h"), (None, None, None)])
+    chats = ("conv_id long, turn long, role string, text string", [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, None, None, None)])
+    for call, df in (
+        (lambda d: bpe.digests(d, ranks), plain), (lambda d: toxicity.judge(d, labels), plain), (jaccard.assign, plain), (gif.digests, plain), (pii.extract, plain), (langid.identify, plain), (lambda d: decontam.report(d, bench), plain),
+        (lambda d: chat.read_back(chat.format_conversations(d)), spark.createDataFrame(chats[1], chats[0])), (urlfilter.judge, spark.createDataFrame(pages[1], pages[0])), (warc.digests, spark.createDataFrame(pages[1], pages[0])),
+    ):
+        more = df.select("*", *[paths_lit(c) for c in names if c not in df.columns])
+        assert sorted(map(str, call(more).collect())) == sorted(map(str, call(df).collect()))
+    for call in (lambda d: toxicity.keep_clean(d, labels), pii.redact, lambda d: decontam.keep_clean(d, bench)):
+        out = call(wide)
+        assert out.columns == wide.columns and all(r["_id"] == "z" for r in out.collect())
+
+
+def paths_lit(name):
+    from pyspark.sql import functions as F
+
+    return F.lit("z").alias(name)

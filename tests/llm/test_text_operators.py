@@ -149,7 +149,7 @@ class PlainModel:
         cut = lambda c: toxicity.discount(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
         self.d, self.dd = [cut(c) for c in self.pairs], [cut(c) for c in self.deep]
         self.down = max(self.dd[c] * len(self.deep[c]) / self.deep[c].total() for c in (0, 1))
-        self.prior = max(0.0, math.log(self.pairs[0].total() / self.pairs[1].total()))
+        self.prior = max(0.0, math.log(len(self.pairs[0]) / len(self.pairs[1])))
 
     def word(self, c, w):
         deep, d = self.deep, self.dd
