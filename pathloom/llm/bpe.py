@@ -33,9 +33,9 @@ LETTER, NUMBER, OTHER, SPACE_MID, BLANK_LAST, SPACE_LAST, SHORT, LONG, RESET = r
 #: States: in letters, in numbers, in others, in white space, after a joining blank, one or two code points of a contraction to come, fresh.
 S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_BLANK, S_ONE, S_TWO, S_FRESH = range(8)
 ROW = 2048
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: Bytes that each of the cache's two generations holds at most, and what an entry takes besides its text and ids.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 16 << 20
 ENTRY_BYTES = 190
 
 

@@ -8,13 +8,14 @@ Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.plans.scratch import drop_table, materialize, new_folder
@@ -36,8 +37,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes of an Arrow batch that goes to Python at most, and the setting that bounds them.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def lean(run: Callable) -> Callable:
-    """run (a function of Arrow batches); when a task ends its freed memory goes back to the system, as Python workers stay alive."""
+    """run (a function of Arrow batches) with bounded memory: batches of the session are cut at BATCH_BYTES, and when a task ends its freed memory goes back to the system, as Python workers stay alive."""
+    session = SparkSession.getActiveSession()
+    if session is not None and int(re.sub("[^0-9]", "", session.conf.get(_BATCH_SETTING))) > BATCH_BYTES:
+        session.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
     def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -16,8 +16,9 @@ holds for both, so that the class of fewer texts isn't the more certain one, and
 a class has never seen is left to ``s_c`` in both.  Each level sums to 1 over all words and the
 unknown one.
 
-A word's evidence is ``log p_toxic - log p_ordinary`` less the log of the classes' sizes, where
-that is positive.  A document's feature is the mean of this over all its words: the part of the
+A word's evidence is ``log p_toxic - log p_ordinary`` less the log of the classes' sizes (their
+numbers of different bigrams, so one long repetitive text doesn't move it), where that is
+positive.  A document's feature is the mean of this over all its words: the part of the
 length-normalised log-likelihood ratio by which words speak for toxicity.  The decision
 threshold comes from a histogram of that feature over a fifth of the training documents (the
 tuning fold), which is left out of the counts.
@@ -49,7 +50,7 @@ TABLE_ROWS = 2_000_000
 #: Bits of the bit table for each key, and its largest size as a power of two.
 KEY_BITS, MOST_BITS = 32, 28
 #: Words of training texts that a task counts before it hands the counts on.
-COUNT_WORDS = 2_000_000
+COUNT_WORDS = 1_000_000
 #: Labels of at most this many rows (48 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Keys and features of at most this many rows are broadcast; more are joined by a shuffle.
@@ -153,13 +154,13 @@ class Model:
         self.pairs = self.words = self.table = None
         if not self.usable:
             return
-        self.prior = max(0.0, math.log(row.no / row.nt))
         level = {c: discount(row[f"{c}1"], row[f"{c}2"]) for c in n}
         words = materialize(pairs.groupBy("word").agg(*(F.count_if(some[c]).alias(c) for c in some)), "contexts")
         deep = words.agg(
             *(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in n for k in (1, 2)), *(F.sum(c).alias(f"{c}n") for c in n), *(F.count_if(F.col(c) > 0).alias(f"{c}v") for c in n)
         ).first()
         d = {c: discount(deep[f"{c}1"], deep[f"{c}2"]) for c in n}
+        self.prior = max(0.0, math.log(deep.on / deep.tn))
         # The discounts of bigrams and of words, for ordinary, toxic and both.
         self.discounts = {"pair": level, "word": d}
         less = lambda col, by: F.greatest(col - by, F.lit(0.0))
@@ -319,14 +320,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
 
 
 def _threshold(hist: np.ndarray) -> float:
-    """The cut that loses least, a false alarm (as a part of its class) counting twice; of equally good ones the middle."""
+    """The cut that loses least, a false alarm (as a part of its class) counting twice; of equally good ones the geometric middle."""
     sums = hist.sum(axis=1, keepdims=True)
     if not sums.all():
         return UNTUNED
     share = np.cumsum(hist / sums, axis=1)
     gain = 2 * share[0] - share[1]
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return (1 + (best[0] + best[-1]) / 2) / BINS
+    return math.sqrt((1 + float(best[0])) * (1 + float(best[-1]))) / BINS
 
 
 def _attach(rows: DataFrame, features: DataFrame) -> DataFrame:
