@@ -60,6 +60,10 @@ GROUP = 128
 #: Pairs of at most this many rows (about 60 MB) are broadcast to pick their documents' texts; more are joined by a shuffle.
 BROADCAST_IDS = 600_000
 
+#: Different texts of a component that meet in one block when links are counted, and tokens that are counted at a time.
+BLOCK = 512
+COLUMNS = 1024
+
 #: What a side of a pair is known by.
 SIDE = ("node", "n", "l", "rank", "rest", "root", "marks", "last", "most")
 
@@ -250,6 +254,54 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["a", "b", "a_n", "b_n", "shared"])
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share: products of 0/1 matrices, COLUMNS tokens of more than one set at a time."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = times[column] > 1
+    row, column = row[several], (np.cumsum(times > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = int((times > 1).sum())
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, n, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, n - low)), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _degrees(percent: int):
+    """Of rows sorted by (group, salt), in which salt names two blocks: each node with the copies of the texts that it links with there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            side, node, copies = (np.array([h[i] for h in held]) for i in range(3))
+            size = np.array([len(h[3]) for h in held])
+            shared = _shared([h[3] for h in held])
+            linked = (100 + percent) * shared >= percent * (size[:, None] + size[None, :])
+            np.fill_diagonal(linked, False)
+            if side.any():
+                # Two different blocks: each side only meets the other one.
+                linked &= side[:, None] != side[None, :]
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(linked @ copies)], names=["node", "links"])
+
+        for batch in batches:
+            for group, salt, side, node, copies, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (group, salt):
+                    if held:
+                        yield counted()
+                    key, held = (group, salt), []
+                held.append((side, node, copies, np.frombuffer(tokens, np.uint64)))
+        if held:
+            yield counted()
+
+    return run
+
+
 class Join:
     """One run of the join over (doc_id, text) rows."""
 
@@ -363,6 +415,31 @@ class Join:
         return pairs.where(f"c >= l and {100 + self.percent} * (c + rest) >= {self.percent} * n").select("a", "b")
 
 
+def _count_links(join: Join, root: DataFrame) -> DataFrame:
+    """(node, links): how many rows of other texts each text links with, of components (node, root).
+
+    A component's texts are dealt into blocks of about BLOCK, and every two blocks meet in one
+    task, where only counts come out; the pairs are never rows.  A component of up to BLOCK texts
+    travels once, one of n texts n / BLOCK times.
+    """
+    sizes = root.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = root.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("root", "node", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("salt"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    wanted = materialize(pairs.join(join.classes, "node").select("root", "node", "salt", "side", "copies", "doc_id"), "wanted")
+    texts = join.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+    # The group's columns pass through the set builder in one.
+    texts = texts.select("text", "node", F.struct("root", "salt", "side", "copies").alias("group"), F.lit(0).alias("salt"), F.lit(0).alias("lead"))
+    sets = texts.mapInArrow(lean(_sets(join.width)), "group struct<root:long,salt:string,side:int,copies:long>, salt int, lead int, node long, tokens binary")
+    # A document of a repeated id and text stands for its copies once.
+    met = sets.select("group.root", "group.salt", "group.side", "node", "group.copies", "tokens").repartition("root", "salt").sortWithinPartitions("root", "salt", "node", "side")
+    met = met.dropDuplicates(["root", "salt", "node", "side"]).sortWithinPartitions("root", "salt", "node", "side")
+    met = met.select("root", "salt", "side", "node", "copies", "tokens")
+    counts = materialize(met.mapInArrow(lean(_degrees(join.percent)), "node long, links long").groupBy("node").agg(F.sum("links").alias("links")), "links")
+    drop_table(wanted)
+    return counts
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Verified links (a, b: representatives' doc_ids) that connect every component of different texts."""
     _, classes, links = Join(docs, width, percent).run()
@@ -371,11 +448,14 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def assign(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs."""
-    rows, classes, links = Join(docs, width, percent).run()
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (other rows that it links with; null without id) of every row of docs."""
+    join = Join(docs, width, percent)
+    rows, classes, links = join.run()
     root = components(links)
     least = root.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = root.join(least, "root").select("node", "component_id")
+    linked = root.join(least, "root").select("node", "component_id").join(_count_links(join, root), "node", "left")
     several = classes.join(linked, "node", "left").where("copies > 1 or component_id is not null")
-    several = materialize(several.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "assigned")
-    return rows.join(several, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id"))
+    several = several.select("node", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    several = materialize(several, "assigned")
+    found = rows.join(several, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id"), F.expr("if(doc_id is null, null, coalesce(n_links, 0L))").alias("n_links"))
+    return found

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -24,8 +25,9 @@ def shingles(text):
 
 
 def brute(texts):
+    """(set size, component, links) of each document."""
     sets = {i: shingles(t) for i, t in texts}
-    root = {i: i for i in sets}
+    root, links = {i: i for i in sets}, Counter()
 
     def find(x):
         while root[x] != x:
@@ -38,7 +40,8 @@ def brute(texts):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                links.update((i, j))
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def near_texts(n=260, seed=7):
@@ -63,12 +66,15 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "SKETCH_BITS", 16)
     texts = near_texts(160 if few < 0 else 260)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.assign(docs(spark, texts)).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.assign(docs(spark, texts)).collect()}
     assert found == brute(texts)
 
 
-def test_jaccard_near_group(spark):
-    """Many near copies of one text, some of which link only through others."""
+@pytest.mark.parametrize("block", [512, 10])
+def test_jaccard_near_group(spark, monkeypatch, block):
+    """Many near copies of one text, some of which link only through others; links counted in one and in many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
     pick = random.Random(11)
     base = [f"b{i}" for i in range(60)]
     texts = []
@@ -77,15 +83,15 @@ def test_jaccard_near_group(spark):
         for _ in range(pick.choice([0, 1, 1, 2, 3])):
             own[pick.randrange(60)] = f"x{pick.randrange(10**6)}"
         texts.append((i * 3, " ".join(own)))
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.assign(docs(spark, texts)).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.assign(docs(spark, texts)).collect()}
     assert found == brute(texts)
 
 
 def test_jaccard_edges(spark):
     assert jaccard.assign(docs(spark, [])).collect() == []
     odd = docs(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, None)])
-    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.assign(odd).collect())
-    assert found == [(-1, 2, None), (1, 0, 1), (3, 2, 3), (3, 2, 3)]
+    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.n_links) for r in jaccard.assign(odd).collect())
+    assert found == [(-1, 2, None, None), (1, 0, 1, 0), (3, 2, 3, 1), (3, 2, 3, 1)]
 
 
 @pytest.mark.parametrize("rounds", [1, 8])
@@ -107,8 +113,12 @@ def test_jaccard_long_texts_and_ties(spark, monkeypatch, rounds):
     texts = [" ".join(t) for t in (long, near, far, base, base[:12] + ["z"], ["z"] + base, ["y"] + base[:12] + ["z"])]
     texts += [" ".join(passage + [f"o{i}x{k}" for k in range(pick.choice([4, 8, 12, 20, 40]))]) for i in range(60)]
     rows = [*enumerate(texts)]
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.assign(docs(spark, [*rows, rows[1], rows[3], rows[3]])).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.assign(docs(spark, rows)).collect()}
     assert found == brute(rows)
+    # A repeated row is a further row to link with.
+    again = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.assign(docs(spark, [*rows, rows[1], rows[3], rows[3]])).collect()}
+    want = brute([*rows, (101, rows[1][1]), (103, rows[3][1]), (203, rows[3][1])])
+    assert again == {i: want[i] for i, _ in rows}
 
 
 def test_links_span_components(spark):
