@@ -53,7 +53,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks), ranks)
+    both = bpe.round_trip(docs.select("doc_id", "text"), ranks)
     return both.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
 
 

@@ -362,12 +362,9 @@ def _keep(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(i) for i, f in enumerate(batch.schema) if f.name in names]
 
 
-def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
-    """Add ``n_tokens`` (long), ``ids`` (binary: 32-bit little-endian ids) and ``piece_starts`` (binary: 32-bit code-point offset of every pre-token, for decoding spans) to df.
-
-    ``vocabulary`` is the path of a rank file that every executor can open.
-    """
-    schema = _with(df.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("piece_starts", T.BinaryType()))
+def _encoding(schema: T.StructType, vocabulary: str, column: str):
+    """The schema with what encoding adds, and the function of batches that adds it."""
+    schema = _with(schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("piece_starts", T.BinaryType()))
     kept = schema.names[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,12 +383,12 @@ def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
         finally:
             merger.forget()
 
-    return df.mapInArrow(lean(run), schema)
+    return schema, run
 
 
-def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
-    """Add ``decoded`` (binary: the bytes that the ids stand for); null ids give empty bytes, an id outside the vocabulary raises IndexError."""
-    schema = _with(df.schema, T.StructField("decoded", T.BinaryType()))
+def _decoding(schema: T.StructType, vocabulary: str, column: str):
+    """The schema with what decoding adds, and the function of batches that adds it."""
+    schema = _with(schema, T.StructField("decoded", T.BinaryType()))
     kept = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +401,31 @@ def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
                 out = [b"".join(map(pick, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*_keep(batch, kept), pa.array(out, pa.binary())], names=schema.names)
 
+    return schema, run
+
+
+def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
+    """Add ``n_tokens`` (long), ``ids`` (binary: 32-bit little-endian ids) and ``piece_starts`` (binary: 32-bit code-point offset of every pre-token, for decoding spans) to df.
+
+    ``vocabulary`` is the path of a rank file that every executor can open.
+    """
+    schema, run = _encoding(df.schema, vocabulary, column)
     return df.mapInArrow(lean(run), schema)
 
 
+def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
+    """Add ``decoded`` (binary: the bytes that the ids stand for); null ids give empty bytes, an id outside the vocabulary raises IndexError."""
+    schema, run = _decoding(df.schema, vocabulary, column)
+    return df.mapInArrow(lean(run), schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
+    """What ``encode`` and then ``decode`` of its ids add, by one Python worker a task: two would each stay alive for the stages that follow."""
+    schema, encoded = _encoding(df.schema, vocabulary, column)
+    schema, decoded = _decoding(schema, vocabulary, "ids")
+    return df.mapInArrow(lean(lambda batches: decoded(encoded(batches))), schema)
+
+
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """The op1 row of every document: encode, decode, and digest both."""
     encoded = encode(df.select("doc_id", "text"), vocabulary).drop("text", "piece_starts")

@@ -83,27 +83,16 @@ def least_shared(n: int, percent: int) -> int:
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        waiting, size = [], 0
         names = ["doc_id", "n", "node", "cell", "counts"]
-
-        def flush() -> None:
-            nonlocal waiting, size, counts
-            if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-            waiting, size = [], 0
-
         for batch in batches:
             sizes, nodes = [], []
             for _, _, data, offsets in blocks(batch.column(1)):
                 for own in shingle_sets(data, offsets, width):
                     sizes.append(len(own))
                     nodes.append(_node(own) if len(own) else None)
-                    waiting.append((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                    size += len(own)
-                if size >= 1 << 21:
-                    flush()
+                    # In place: a table of counts for each block would take twice this one.
+                    np.add.at(counts, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
-        flush()
         cells = [(i, counts[i * CELL : (i + 1) * CELL]) for i in range(len(counts) // CELL)]
         cells = [(i, zlib.compress(c.tobytes(), 1)) for i, c in cells if c.any()]
         if cells:

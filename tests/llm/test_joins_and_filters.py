@@ -121,6 +121,27 @@ def test_jaccard_long_texts_and_ties(spark, monkeypatch, rounds):
     assert again == {i: want[i] for i, _ in rows}
 
 
+def test_jaccard_profile_memory():
+    import tracemalloc
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}-{k}" for k in range(300)) for i in range(50)] + [None, "one", "a b c d e a b c d e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    list(jaccard._profile(5)(iter([batch])))  # tables that stay
+    tracemalloc.start()
+    out = list(jaccard._profile(5)(iter([batch, batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The counters and little more: a Python worker shares the executor's memory.
+    assert peak < 2 * (4 << jaccard.SKETCH_BITS)
+    rows = [r for b in out for r in b.to_pylist()]
+    counts = {r["cell"]: int(np.frombuffer(zlib.decompress(r["counts"]), np.uint32).sum()) for r in rows if r["cell"] is not None}
+    assert sum(counts.values()) == 2 * sum(len(shingles(t)) for t in texts) == sum(r["n"] for r in rows if r["cell"] is None)
+
+
 def test_links_span_components(spark):
     texts = near_texts(120, 3)
     want = brute(texts)

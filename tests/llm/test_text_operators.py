@@ -42,6 +42,19 @@ def test_bpe_rows(spark):
     assert bpe.digests(df.limit(0), RANKS).collect() == []
 
 
+def test_bpe_round_trip(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None, "x", 1) for i, t in enumerate(ODD)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame([(*r, "old", 1) for r in rows], DOCS + ", ids string, decoded int")
+    for df in (df, df.limit(0)):
+        got, want = bpe.round_trip(df, RANKS), bpe.decode(bpe.encode(df, RANKS), RANKS)
+        assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # One Python worker for each task of the pipeline's last stage.
+    plan = corpus_pipeline.to_tokens(spark, df, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_words_and_shingles():
     texts = ["One  two\tONE", "", "a b c d e f a b c d e", "é ü", " \n "]
     data, offsets = kernel.buffer_of(pa.array([*texts, None]))
